@@ -262,3 +262,148 @@ where c.kind = 'symbol_conforms_to' and not exists (
     "intent_pool": sql("select query_id, chunk_id, round(rank, 6) as rank, source_rank, kind, position from pool"),
     "candidate_merge": sql("select query_id, chunk_id, boost, round(rank, 6) as rank, fts_position, first_place from merged"),
 }
+
+
+def evidence(text: str, terms: str) -> str:
+    """First trimmed line with most terms; documents hold no definition lines at the start of ties."""
+    lines = f"list_filter(list_transform(string_split({text}, chr(10)), lambda s: trim(s)), lambda s: s <> '')"
+    wanted = f"list_filter(list_transform({terms}, lambda t: {loose('t')}), lambda t: length(t) >= 2)"
+    scores = f"list_transform({lines}, lambda s: len(list_filter({wanted}, lambda t: contains({loose('s')}, t))))"
+    best = f"coalesce({lines}[list_position({scores}, list_max({scores}))], '')"
+    flat = f"regexp_replace({best}, '\\s+', ' ', 'g')"
+    return f"case when length({flat}) > 96 then rtrim(left({flat}, 93)) || '...' else {flat} end"
+
+
+CTE["fts_unique"] = """
+select * from (
+  select t.query_id, t.chunk_id, t.rank, t.fts_position, u.qualified_name, u.kind, u.path, u.symbol_start, u.text,
+    row_number() over (partition by t.query_id, u.path, u.qualified_name order by t.fts_position) as rn
+  from fts_top t join units u using (chunk_id)) where rn = 1"""
+ORACLES["search_fts"] = sql(f"""
+select query_id, position, qualified_name as symbol, kind, path as file, symbol_start::int as start_line,
+  round(round(-rank, 3), 2) as score, {evidence('text', 'q_tokens')} as evidence
+from (select *, row_number() over (partition by query_id order by fts_position) as position from fts_unique) join ranked using (query_id)
+where position <= 5""")
+
+ORACLES["neighbours"] = sql("""
+select symbol_id, row_number() over (partition by symbol_id order by side, rn) as place, relation, neighbour, path, edge_id
+from (
+  select e.source_symbol_id as symbol_id, 0 as side, row_number() over (partition by e.source_symbol_id order by e.edge_id) as rn,
+    e.kind as relation, e.target_name as neighbour, f.path, e.edge_id
+  from edges e left join symbols s on s.symbol_id = e.target_symbol_id left join files f on f.file_id = s.file_id
+  union all
+  select i.symbol_id, 1, row_number() over (partition by i.symbol_id order by far, case when i.kind = 'symbol_conforms_to' then 0 else 1 end, i.edge_id),
+    case i.kind when 'symbol_calls_name' then 'called_by_name' when 'symbol_conforms_to' then 'conformed_to_by' else 'incoming_' || i.kind end,
+    src.qualified_name, f.path, i.edge_id
+  from (select symbol_id, edge_id, min(far) as far, any_value(kind) as kind, any_value(source_symbol_id) as source_symbol_id from (
+      select target_symbol_id as symbol_id, edge_id, 0 as far, kind, source_symbol_id from edges where target_symbol_id is not null
+      union all select c.symbol_id, e.edge_id, 1, e.kind, e.source_symbol_id from edges e join symbols c on e.target_name = c.qualified_name
+      union all select c.symbol_id, e.edge_id, 1, e.kind, e.source_symbol_id from edges e join symbols c on e.target_name = c.name)
+    group by symbol_id, edge_id) i
+  join symbols src on src.symbol_id = i.source_symbol_id join files f on f.file_id = src.file_id)
+where rn <= 5 qualify row_number() over (partition by symbol_id order by side, rn) <= 8""")
+
+CTE["c_req"] = f"""
+select *, case when path_mode = 'filter' and n_hints > 0 then 'path-filter'
+    when n_hints > 0 and not (n_terms >= 8 and n_hints <= 2) then 'path-hint-prefilter'
+    when n_hints > 0 and n_hints <= 2 and n_terms >= 7 then 'bounded-term-fts' else 'fts' end as plan
+from (select *, len(c_terms) as n_terms, coalesce(len(path_hints), 0) as n_hints from (
+  select *, {distinct_list(f"list_filter(flatten(list_transform(terms, lambda t: regexp_split_to_array({loose('t')}, '\\s+'))), lambda t: length(t) >= 3)")} as c_terms
+  from requests))"""
+CTE["c_raw"] = f"""
+select distinct query_id, array_to_string({fts('t')}, ' ') as phrase
+from (select query_id, unnest(list_filter(regexp_split_to_array(question, '\\s+'), lambda t: length(t) >= 2)) as t from c_req where plan in ('fts', 'path-hint-prefilter'))
+where len({fts('t')}) > 0"""
+CTE["b_terms"] = f"""
+select query_id, array_to_string({fts('t')}, ' ') as phrase from (select query_id, unnest(c_terms[1:10]) as t from c_req where plan = 'bounded-term-fts')
+where len({fts('t')}) > 0"""
+CTE["c_phrases"] = "select distinct phrase, string_split(phrase, ' ') as ws from (select phrase from c_raw union all select phrase from b_terms)"
+CTE["c_hits"] = """
+select phrase, chunk_id, kind, role, dl, tf as f from posts join c_phrases on c_phrases.phrase = posts.term
+union all
+select * from (
+  select phrase, t.chunk_id, t.kind, t.role, t.dl,
+    len(list_filter(range(1, len(toks) - len(ws) + 2), lambda i: toks[i:i + len(ws) - 1] = ws)) as f
+  from c_phrases join posts p on p.term = ws[1] join tokens t on t.chunk_id = p.chunk_id where len(ws) > 1)
+where f > 0"""
+CTE["c_parts"] = weights("c_hits")
+CTE["c_ranked"] = f"""
+select r.query_id, p.chunk_id, round(sum(w), 9) as rank, r.plan,
+  any_value(r.path_hints) as path_hints, any_value(u.path) as path
+from c_parts p join c_raw c using (phrase) join c_req r on r.query_id = c.query_id join units u on u.chunk_id = p.chunk_id
+where {_HARD.replace(', kind)', ', u.kind)').replace(', role)', ', u.role)').replace('or role =', 'or u.role =')}
+group by r.query_id, p.chunk_id, r.plan"""
+_SOFT = (
+    "len(list_filter(path_hints, lambda h: len(list_filter(regexp_extract_all(lower(h), '[a-z0-9]+'), "
+    "lambda t: not contains(lower(path), t))) = 0)) > 0"
+)
+_TERM = "len(list_filter(c_terms, lambda t: contains(lower(u.text || ' ' || u.qualified_name || ' ' || u.path), t))) > 0"
+CTE["c_scan"] = f"""
+select r.query_id, u.chunk_id, r.plan, row_number() over (partition by r.query_id order by path, symbol_start, chunk_id) as position
+from c_req r join units u on r.plan in ('path-filter', 'bounded-term-fts') and {_SOFT} and {_TERM}
+where {_HARD}"""
+CTE["b_pool"] = f"""
+select query_id, chunk_id, min(rank) as rank from (
+  select query_id, chunk_id, rank from b_terms join (
+    select phrase, chunk_id, round(w, 9) as rank, row_number() over (partition by phrase order by round(w, 9), chunk_id) as rn from c_parts) using (phrase)
+  where rn <= 80
+  union all select query_id, chunk_id, 0.0 from c_scan where plan = 'bounded-term-fts' and position <= 160)
+group by all"""
+CTE["c_rows"] = f"""
+select query_id, 1 as attempt, chunk_id, rank, position from (select *, row_number() over (partition by query_id order by rank, chunk_id) as position from c_ranked) where position <= 250
+union all
+select query_id, 0, chunk_id, rank, position from (select *, row_number() over (partition by query_id order by rank, chunk_id) as position from c_ranked where plan = 'path-hint-prefilter' and {_SOFT}) where position <= 250
+union all
+select query_id, 1, chunk_id, 0.0, position from c_scan where plan = 'path-filter' and position <= 1000
+union all
+select query_id, 1, chunk_id, rank, position from (
+  select query_id, chunk_id, rank, row_number() over (partition by query_id order by rank, chunk_id) as position
+  from b_pool join units using (chunk_id) join c_req using (query_id) where {_HARD}) where position <= 250"""
+
+
+def _hits(values: str, text: str) -> str:
+    return f"len(list_filter({values}, lambda t: contains({text}, t)))"
+
+
+CTE["c_full"] = f"""
+select *, greatest(1.0, -rank * 10) + 8 * {_hits('l_terms', 'l_symbol')} + 4 * {_hits('l_terms', 'l_file')}
+  + 2 * {_hits('l_terms', 'l_text')} + 10 * {_hits('l_hints', 'l_file')} as row_score,
+  list_filter(c_terms, lambda t: contains(l_file || ' ' || l_symbol || ' ' || l_text, t)) as matched,
+  {evidence('text', 'c_terms')} as line,
+  length(path || ':' || symbol_start || '-' || symbol_start_end || ' ' || kind || ' ' || qualified_name) + 1 as chars,
+  list_sum(list_transform(c_terms, lambda t: case when contains(l_symbol, t) or contains(regexp_replace(l_symbol, '\\s+', '', 'g'), t)
+    then 20 + case when regexp_split_to_array(l_symbol, '\\s+')[-1] = t then 90 else 0 end else 0 end)) as name_boost
+from (
+  select c.query_id, c.attempt, c.chunk_id, c.rank, c.position, r.c_terms, r.plan, r.n_terms, r.n_hints, u.text, u.qualified_name, u.kind, u.symbol_start,
+    s.end_line as symbol_start_end, u.path, u.role, u.language, {loose('u.path')} as l_file, {loose('u.qualified_name')} as l_symbol,
+    {loose('u.text')} as l_text, list_filter(list_transform(r.terms, lambda t: {loose('t')}), lambda t: t <> '') as l_terms,
+    coalesce(list_transform(r.path_hints, lambda h: {loose('h')}), []) as l_hints
+  from c_rows c join c_req r using (query_id) join units u using (chunk_id) join symbols s on s.symbol_id = u.chunk_id)"""
+CTE["c_symbols"] = """
+select query_id, attempt, path,
+  array_to_string((list(name order by case when n_hints > 0 then -best end nulls last, case when n_hints > 0 then start_line end nulls last, case when n_hints > 0 then name end nulls last, first_at))[1:12], ',') as symbols
+from (
+  select query_id, attempt, path, n_hints, qualified_name as name, min(position) as first_at,
+    arg_min(symbol_start, position) as start_line, max(row_score + name_boost + 12 * len(matched)) as best
+  from c_full group by query_id, attempt, path, n_hints, qualified_name)
+group by query_id, attempt, path"""
+CTE["c_folded"] = """
+select query_id, attempt, path, any_value(role) as role, any_value(language) as language, any_value(plan) as plan,
+  any_value(c_terms) as c_terms, any_value(n_terms) as n_terms, max(row_score) as base, count(*) as matched_chunks,
+  len(list_distinct(flatten(list(matched)))) as coverage, sum(chars) as symbol_chars,
+  (list(line order by row_score desc, position))[1] as evidence
+from c_full group by query_id, attempt, path"""
+CTE["c_boosted"] = f"""
+select *, round(base + least(matched_chunks, 5)
+  + case when n_terms >= 2 and coverage >= 2 then least(3 * coverage + case when coverage = n_terms then 4 else 0 end, 16) else 0 end
+  + least(6 * {_hits('c_terms', loose("regexp_replace(string_split(path, '/')[-1], '[.][^.]+$', '')"))}, 12), 2) as score,
+  symbol_chars + case when evidence <> '' then length(evidence) + 1 else 0 end as context_chars
+from c_folded"""
+ORACLES["file_clusters"] = sql("""
+select query_id, position, path as file, role, language, plan, round(score, 1) as score, matched_chunks, context_chars::bigint as context_chars,
+  ceil(context_chars / 4)::bigint as context_tokens, coverage::int as coverage, evidence, symbols
+from (
+  select b.*, s.symbols, row_number() over (partition by b.query_id order by score desc, matched_chunks desc, b.path) as position
+  from c_boosted b join c_symbols s using (query_id, attempt, path)
+  where attempt = case when (select count(*) from c_folded f where f.query_id = b.query_id and f.attempt = 0) >= 5 then 0 else 1 end)
+where position <= 5""")

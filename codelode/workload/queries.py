@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.operators import candidates as cd
+from codelode.operators import clusters, graph
 from codelode.operators import fulltext as ft
 from codelode.operators import index as ix
+from codelode.plans import search
 from codelode.workload import corpus
 
 
@@ -83,3 +85,43 @@ QUERIES = {
         corpus_stats, fts_topk, exact_symbol_candidates, path_hint_candidates, intent_pool, candidate_merge,
     )
 }
+
+
+def neighbours(spark, sf):
+    """Neighbours of every symbol."""
+    idx = corpus.stored_index(spark, sf)
+    near = graph.neighbours(idx.symbols.select("symbol_id"), idx.symbols, idx.edges, idx.files)
+    return near.select("symbol_id", "place", "relation", "neighbour", "path", "edge_id")
+
+
+def search_fts(spark, sf):
+    out = search.search(corpus.stored_index(spark, sf), corpus.requests(spark, sf), "fts")
+    return out.select("query_id", "position", "symbol", "kind", "file", "start_line", F.round("score", 2).alias("score"), "evidence")
+
+
+def _ranked(spark, sf, mode):
+    out = search.search(corpus.stored_index(spark, sf), corpus.requests(spark, sf), mode)
+    return out.select(
+        "query_id", "position", "symbol", "kind", "file", "start_line", "end_line", "score", "adjusted",
+        F.array_join("why", "; ").alias("why"), "evidence", F.size(F.coalesce("neighbours", F.array())).alias("neighbours"),
+    )
+
+
+def search_symbol(spark, sf):
+    return _ranked(spark, sf, "symbol")
+
+
+def search_hybrid(spark, sf):
+    return _ranked(spark, sf, "hybrid")
+
+
+def file_clusters(spark, sf):
+    out = clusters.file_clusters(corpus.stored_index(spark, sf), corpus.requests(spark, sf))
+    return out.select(
+        "query_id", "position", "file", "role", "language", "plan", F.round("score", 1).alias("score"),
+        "matched_chunks", "context_chars", "context_tokens", "coverage", "evidence",
+        F.array_join("symbols.name", ",").alias("symbols"),
+    )
+
+
+QUERIES.update({f.__name__: f for f in (neighbours, search_fts, search_symbol, search_hybrid, file_clusters)})
