@@ -94,7 +94,7 @@ def phrase_hits(posts: DataFrame, tokens: DataFrame, phrases: DataFrame) -> Data
     width = F.size(sequence)
     places = F.filter(
         F.sequence(F.lit(1), F.size("tokens") - width + 1),
-        lambda i: F.slice("tokens", i, width) == sequence,
+        lambda i: (F.get("tokens", i - 1) == F.get(sequence, F.lit(0))) & (F.slice("tokens", i, width) == sequence),
     )
     many = (
         holding.join(tokens.select("chunk_id", "tokens"), "chunk_id")

@@ -265,13 +265,14 @@ where c.kind = 'symbol_conforms_to' and not exists (
 
 
 def evidence(text: str, terms: str) -> str:
-    """First trimmed line with most terms; documents hold no definition lines at the start of ties."""
+    """First trimmed line with most terms; the words are already lower case."""
     lines = f"list_filter(list_transform(string_split({text}, chr(10)), lambda s: trim(s)), lambda s: s <> '')"
-    wanted = f"list_filter(list_transform({terms}, lambda t: {loose('t')}), lambda t: length(t) >= 2)"
-    scores = f"list_transform({lines}, lambda s: len(list_filter({wanted}, lambda t: contains({loose('s')}, t))))"
-    best = f"coalesce({lines}[list_position({scores}, list_max({scores}))], '')"
-    flat = f"regexp_replace({best}, '\\s+', ' ', 'g')"
-    return f"case when length({flat}) > 96 then rtrim(left({flat}, 93)) || '...' else {flat} end"
+    scored = (
+        f"list_transform({lines}, lambda s: struct_pack(l := s, n := list_sum(list_transform({terms}, "
+        f"lambda t: contains({loose('s')}, t)::int))))"
+    )
+    best = f"coalesce(list_reduce({scored}, lambda a, b: case when b.n > a.n then b else a end, struct_pack(l := {lines}[1], n := 0)).l, '')"
+    return f"(select case when length(e) > 96 then rtrim(left(e, 93)) || '...' else e end from (select regexp_replace({best}, '\\s+', ' ', 'g') as e))"
 
 
 CTE["fts_unique"] = """
@@ -318,14 +319,14 @@ CTE["b_terms"] = f"""
 select query_id, array_to_string({fts('t')}, ' ') as phrase from (select query_id, unnest(c_terms[1:10]) as t from c_req where plan = 'bounded-term-fts')
 where len({fts('t')}) > 0"""
 CTE["c_phrases"] = "select distinct phrase, string_split(phrase, ' ') as ws from (select phrase from c_raw union all select phrase from b_terms)"
+CTE["pairs"] = """
+select chunk_id, kind, role, dl, a || ' ' || b as phrase, count(*) as f
+from (select chunk_id, kind, role, dl, unnest(toks) as a, unnest(list_concat(toks[2:], [''])) as b from tokens)
+where a || ' ' || b in (select phrase from c_phrases where len(ws) = 2) group by all"""
 CTE["c_hits"] = """
 select phrase, chunk_id, kind, role, dl, tf as f from posts join c_phrases on c_phrases.phrase = posts.term
 union all
-select * from (
-  select phrase, t.chunk_id, t.kind, t.role, t.dl,
-    len(list_filter(range(1, len(toks) - len(ws) + 2), lambda i: toks[i:i + len(ws) - 1] = ws)) as f
-  from c_phrases join posts p on p.term = ws[1] join tokens t on t.chunk_id = p.chunk_id where len(ws) > 1)
-where f > 0"""
+select phrase, chunk_id, kind, role, dl, f from pairs"""
 CTE["c_parts"] = weights("c_hits")
 CTE["c_ranked"] = f"""
 select r.query_id, p.chunk_id, round(sum(w), 9) as rank, r.plan,
