@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.operators import candidates as cd
-from codelode.operators import clusters, graph
+from codelode.operators import clusters, graph, related
+from codelode.operators import source_tests as st
 from codelode.operators import fulltext as ft
 from codelode.operators import index as ix
 from codelode.plans import search
@@ -125,3 +126,32 @@ def file_clusters(spark, sf):
 
 
 QUERIES.update({f.__name__: f for f in (neighbours, search_fts, search_symbol, search_hybrid, file_clusters)})
+
+
+def _sources(spark, sf):
+    """Every source document asks for its tests, by its longest words and first function."""
+    docs = corpus.table(spark, sf, "documents")
+    idx = corpus.stored_index(spark, sf)
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{11,}"), F.lit(0)), F.lower))
+    first = idx.symbols.filter("kind = 'function'").groupBy("file_id").agg(F.min_by("qualified_name", "symbol_id").alias("symbol"))
+    return (
+        idx.files.filter("role = 'source'").join(docs.select(F.col("doc_id").alias("file_id"), words.alias("terms")), "file_id")
+        .join(first, "file_id", "left")
+        .select(F.col("file_id").alias("source_id"), F.col("path").alias("source_file"), "symbol", "terms", F.lit(5).alias("limit"))
+    )
+
+
+def related_tests(spark, sf):
+    out = related.related_tests(corpus.stored_index(spark, sf), _sources(spark, sf))
+    return out.select("source_id", "position", "file", "score", F.array_join("why", "; ").alias("why"), "first_line")
+
+
+def source_tests(spark, sf):
+    out = st.source_tests(corpus.stored_index(spark, sf), corpus.requests(spark, sf))
+    return out.select(
+        "query_id", "position", "file", "bundle_score", "context_tokens",
+        F.array_join("tests.file", ",").alias("tests"), F.array_join(F.get("tests", F.lit(0))["why"], "; ").alias("test_why"),
+    )
+
+
+QUERIES.update({f.__name__: f for f in (related_tests, source_tests)})
