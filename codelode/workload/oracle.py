@@ -408,3 +408,119 @@ from (
   from c_boosted b join c_symbols s using (query_id, attempt, path)
   where attempt = case when (select count(*) from c_folded f where f.query_id = b.query_id and f.attempt = 0) >= 5 then 0 else 1 end)
 where position <= 5""")
+
+CTE["expected"] = """
+select distinct b.query_id, f.path
+from (select distinct item_id as query_id, unnest(string_split(text, chr(10))) as line from benchmark) b
+join (select distinct path, unnest(string_split(text, chr(10))) as line from files) f using (line)"""
+ORACLES["retrieval_metrics"] = sql("""
+select count(*) as questions, round(avg(case when pos = 1 then 1.0 else 0.0 end), 4) as file_hit_1,
+  round(avg(case when pos <= 5 then 1.0 else 0.0 end), 4) as file_hit_5, round(avg(coalesce(1.0 / pos, 0)), 4) as file_mrr,
+  round(avg(case when found > 0 and found < wanted then 1.0 else 0.0 end), 4) as partial_files
+from (select query_id, count(*) as wanted, min(position) as pos, count(position) as found from (
+    select e.query_id, e.path, min(t.position) as position from expected e
+    left join (select *, row_number() over (partition by query_id order by fts_position) as position from fts_unique) t
+      on t.query_id = e.query_id and t.path = e.path and t.position <= 5
+    group by all) group by query_id)""")
+CTE["q_terms"] = "select distinct query_id, unnest(list_transform(terms, lambda t: replace(t, '_', ' '))) as term from requests"
+
+
+def _count(hay: str) -> str:
+    return f"((length({hay}) - length(replace({hay}, term, ''))) / length(term))::bigint"
+
+
+ORACLES["lexical_baseline"] = sql(f"""
+select query_id, row_number() over (partition by query_id order by score desc, path) as position, path as file, score
+from (select query_id, path, sum({_count('l_text')} + case when contains(l_path, term) then 3 else 0 end)::bigint as score
+  from q_terms, (select path, {loose('text')} as l_text, {loose('path')} as l_path from files)
+  where contains(l_text, term) or contains(l_path, term) group by all)
+qualify row_number() over (partition by query_id order by score desc, path) <= 5""")
+ORACLES["line_baseline"] = sql(f"""
+select query_id, row_number() over (partition by query_id order by score desc, path) as position, path as file, score, matched_lines
+from (select query_id, path, count(*) as score, count(distinct line_no) as matched_lines
+  from q_terms, (select f.path, l.line_no, {loose('l.line')} as hay from raw_lines l join files f using (file_id))
+  where contains(hay, term) group by all)
+qualify row_number() over (partition by query_id order by score desc, path) <= 5""")
+CTE["turns"] = f"""
+select conv_id as case_id, turn + 1 as step, role, text, ceil(length(text) / 4)::bigint as tokens,
+  {distinct_list("list_transform(regexp_extract_all(text, '[\\p{L}]{6,}'), lambda s: lower(s))")} as found from conversations"""
+ORACLES["workflow_summary"] = sql("""
+select case_id, n_wanted, n_found, complete, commands, total_tokens, first_useful, first_useful_tokens,
+  case when complete then last_seen end as completed_at, case when complete then coalesce(tokens_at_last, 0) end as completion_tokens
+from (
+  select w.case_id, w.n_wanted, coalesce(f.n_found, 0) as n_found, coalesce(f.n_found = w.n_wanted, false) or w.n_wanted = 0 as complete,
+    f.first_useful, f.last_seen,
+    (select count(*) from turns t where t.case_id = w.case_id and t.step > 1) as cnt,
+    case when (select count(*) from turns t where t.case_id = w.case_id and t.step > 1) > 0 then (select count(*) from turns t where t.case_id = w.case_id and t.step > 1) end as commands,
+    (select sum(tokens)::bigint from turns t where t.case_id = w.case_id and t.step > 1) as total_tokens,
+    (select sum(tokens)::bigint from turns t where t.case_id = w.case_id and t.step > 1 and t.step <= f.first_useful) as first_useful_tokens,
+    (select sum(tokens)::bigint from turns t where t.case_id = w.case_id and t.step > 1 and t.step <= f.last_seen) as tokens_at_last
+  from (select case_id, len(found) as n_wanted from turns where step = 1) w
+  left join (
+    select case_id, min(seen) as first_useful, max(seen) as last_seen, count(*) as n_found from (
+      select t.case_id, v.value, min(t.step) as seen
+      from (select case_id, step, unnest(found) as value from turns where step > 1) t
+      join (select case_id, unnest(found) as value from turns where step = 1) v using (case_id, value) group by all)
+    group by case_id) f using (case_id))""")
+ORACLES["mention_rates"] = sql("""
+select e.case_id, count(*) as expected, count(*) filter (contains(lower(a.text), lower(e.value))) as mentioned,
+  round(count(*) filter (contains(lower(a.text), lower(e.value))) / count(*), 4) as rate
+from (select case_id, unnest(found) as value from turns where step = 1) e
+left join (select case_id, string_agg(text, ' ' order by step) as text from turns where role = 'assistant' group by 1) a using (case_id)
+group by 1""")
+ORACLES["leaked_targets"] = sql("""
+select case_id, stem as leaked
+from (select distinct query_id as case_id, regexp_replace(string_split(path, '/')[-1], '[.][^.]+$', '') as stem from expected) e
+join requests r on r.query_id = e.case_id
+where length(regexp_replace(lower(stem), '[^a-z0-9]+', '', 'g')) > 0 and
+  len(list_filter(terms, lambda q: contains(regexp_replace(lower(q), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(stem), '[^a-z0-9]+', '', 'g')))) > 0""")
+ORACLES["run_spread"] = """
+select event_type, min(value) as low, max(case when rn = n // 2 + 1 then value end) as median, max(value) as high,
+  count(*) as runs, round(max(value) - min(value), 4) as spread
+from (select event_type, value, row_number() over (partition by event_type order by value) as rn,
+  count(*) over (partition by event_type) as n from events where value is not null) group by 1"""
+
+
+def _runs(kind: str) -> str:
+    return (
+        "(select user_id, count(*) as cases, round(avg(value), 6) as quality, max(value) as tokens "
+        f"from events where event_type = '{kind}' group by 1)"
+    )
+
+
+ORACLES["suite_weighted_means"] = f"""
+select sum(cases)::bigint as cases, round(sum(quality * cases) / sum(cases), 4) as quality, round(sum(tokens * cases) / sum(cases), 4) as tokens
+from {_runs('view')}"""
+ORACLES["artifact_regressions"] = f"""
+with j as (select b.*, c.user_id as present, c.cases as c_cases, c.quality as c_quality, c.tokens as c_tokens
+  from {_runs('view')} b left join {_runs('click')} c using (user_id))
+select user_id, 'missing' as metric, null::double as before, null::double as after from j where present is null
+union all select user_id, 'cases', cases::double, c_cases::double from j where c_cases < cases
+union all select user_id, 'quality', quality, c_quality from j where c_quality < quality
+union all select user_id, 'tokens', tokens, c_tokens from j where c_tokens > tokens * 1.1"""
+ORACLES["condition_summary"] = """
+with r as (select event_type as condition, value, (props->>'$.k')::int as k from events),
+m as (select condition, 'mode_' || (k % 7) as mode, count(*) as n from r where value < 5 group by all),
+t as (select condition, mode, n from m qualify row_number() over (partition by condition order by n desc, mode) = 1),
+d as (select condition, max(case when rn = n // 2 + 1 then k end) as median_tokens from (
+  select condition, k, row_number() over (partition by condition order by k) as rn, count(*) over (partition by condition) as n from r where k is not null) group by 1)
+select condition, count(*) as reviews, count(*) filter (value >= 20) as passed, count(*) filter (value >= 5 and value < 20) as partial,
+  count(*) filter (not (value >= 5) or value is null) as failed, round(avg(k % 6), 4) as mean_quality,
+  any_value(median_tokens) as median_tokens, any_value(t.mode) as top_failure, any_value(t.n) as top_failures
+from r left join d using (condition) left join t using (condition) group by 1"""
+ORACLES["trace_report"] = """
+select user_id as session, count(*) as events, count(*) filter (event_type = 'view') as queries, count(*) filter (event_type = 'error') as fallbacks,
+  count(*) filter (event_type = 'purchase') as changes, count(*) filter (event_type = 'signup') as verifications,
+  count(*) filter (event_type not in ('view', 'error', 'purchase', 'signup')) as lessons, count(*) filter (value >= 10) as useful,
+  max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000) as duration_ms, min(case when value >= 10 then epoch_us(ts) // 1000 end) - min(epoch_us(ts) // 1000) as first_useful_ms
+from events group by 1"""
+ORACLES["evidence_lines"] = f"""
+select doc_id, {evidence('text', 'ts')} as evidence
+from (select doc_id, text, {distinct_list("list_transform(regexp_extract_all(string_split(text, chr(10))[-1], '[A-Za-z]{5,}'), lambda s: lower(s))")} as ts from documents)"""
+ORACLES["text_kernels"] = f"""
+select conv_id, turn, {strict('text')} as strict, {loose('text')} as loose,
+  lower(trim(regexp_replace(translate(text, '\\/', '..'), '[^A-Za-z0-9_.]+', ' ', 'g'))) as dotted,
+  regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') as target,
+  array_to_string(list_filter({distinct_list(f"flatten(list_transform(list_filter(string_split({strict('text')}, ' '), lambda t: length(t) >= 2), lambda t: [t, {stem('t')}]))")}, lambda t: length(t) >= 2), ' ') as ranked,
+  array_to_string({fts('text')}, ' ') as fts, ceil(length(text) / 4)::bigint as tokens
+from conversations"""
