@@ -19,6 +19,7 @@ from codelode.functions import text as tx
 from codelode.functions import classify
 from codelode.operators import index as ix
 from codelode.schemas import ORDINAL_SPAN
+from codelode.session import cut_lineage
 
 _WORD = r"[A-Za-z]{2,}"
 
@@ -204,3 +205,38 @@ def stored_index(spark: SparkSession, sf_dir: str) -> ix.Index:
         ix.write_index(relations(spark, sf_dir), where, root=sf_dir)
         _BUILT[key] = where
     return ix.open_index(spark, _BUILT[key])
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rewritten, row by row, as source code: a class with a method per line.
+
+    English documents become Python, the others Kotlin. A method is named by
+    its number and the line's first two words and calls its last word.
+    """
+    base = paths(table(spark, sf_dir, "documents"))
+    ws = lambda s: F.regexp_extract_all(s, F.lit(_WORD), F.lit(0))
+    kept = F.filter(F.transform(F.split("text", "\n"), ws), lambda w: F.size(w) >= 2)
+    head = F.transform(F.slice(kept, 1, 1), lambda w: F.concat(_camel(w[0]), _camel(w[1])))[0]
+    name = lambda w, i: F.concat(F.lit("m"), i.cast("string"), F.lit("_"), F.lower(w[0]), F.lit("_"), F.lower(w[1]))
+    called = lambda w: F.concat(F.lit("call_"), F.lower(F.element_at(w, -1)))
+    python = F.concat(
+        F.lit("import os\n\nclass "), head, F.lit("(Base"), F.col("file_id").cast("string"), F.lit("):\n"),
+        F.array_join(F.transform(kept, lambda w, i: F.concat(
+            F.lit("    def "), name(w, i), F.lit("(self):\n        return "), called(w), F.lit("(1)\n"))), "\n"),
+    )
+    kotlin = F.concat(
+        F.lit("import os\n\nclass "), head, F.lit(" : Base"), F.col("file_id").cast("string"), F.lit(" {\n"),
+        F.array_join(F.transform(kept, lambda w, i: F.concat(
+            F.lit("    fun "), name(w, i), F.lit("() {\n        "), called(w), F.lit("(1)\n    }\n"))), "\n"), F.lit("}\n"),
+    )
+    py = F.col("path").endswith(".py")
+    shaped = base.filter(F.size(kept) > 0).select(
+        "file_id", F.regexp_replace("path", r"\.[a-z]+$", F.when(py, ".py").otherwise(".kt")).alias("path"),
+        F.when(py, python).otherwise(kotlin).alias("text"),
+    )
+    # extraction reads the files several times and tests their language on
+    # every line, so text and class are written out once
+    return cut_lineage(shaped.select(
+        "file_id", "path", "text", F.sha2("text", 256).alias("hash"),
+        classify.language(F.col("path"), F.col("text")).alias("language"), classify.role(F.col("path")).alias("role"),
+    ))

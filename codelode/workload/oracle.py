@@ -218,16 +218,15 @@ def sql(body: str, *extra: tuple[str, str]) -> str:
 
     names = {**CTE, **dict(extra)}
     needed: list[str] = []
+    seen: set[str] = set()
 
     def add(text: str) -> None:
+        words = set(re.findall(r"\w+", text))
         for name in names:
-            if re.search(rf"\b(?:from|join)\s+{name}\b|,\s*{name}\b", text) and name not in needed:
-                add_name(name)
-
-    def add_name(name: str) -> None:
-        add(names[name])
-        if name not in needed:
-            needed.append(name)
+            if name in words and name not in seen and re.search(rf"\b(?:from|join)\s+{name}\b|,\s*{name}\b", text):
+                seen.add(name)
+                add(names[name])
+                needed.append(name)
 
     add(body)
     parts = ",\n".join(f"{name} as materialized ({names[name]})" for name in needed)
@@ -524,3 +523,54 @@ select conv_id, turn, {strict('text')} as strict, {loose('text')} as loose,
   array_to_string(list_filter({distinct_list(f"flatten(list_transform(list_filter(string_split({strict('text')}, ' '), lambda t: length(t) >= 2), lambda t: [t, {stem('t')}]))")}, lambda t: length(t) >= 2), ' ') as ranked,
   array_to_string({fts('text')}, ' ') as fts, ceil(length(text) / 4)::bigint as tokens
 from conversations"""
+
+CTE["code_lines"] = """
+select l.file_id, l.ws, row_number() over (partition by l.file_id order by l.line_no) - 1 as i, d.ending = '.py' as py
+from lines l join docs d using (file_id)"""
+CTE["code_methods"] = """
+select file_id, py, i, 'm' || i || '_' || lower(ws[1]) || '_' || lower(ws[2]) as name, 'call_' || lower(ws[-1]) as called,
+  case when py then 4 + 3 * i else 4 + 4 * i end as start_line, case when py then 5 + 3 * i else 6 + 4 * i end as end_line
+from code_lines"""
+CTE["code_heads"] = f"""
+select file_id, py, {camel('ws[1]')} || {camel('ws[2]')} as head, n,
+  regexp_replace(path, '\\.[a-z]+$', case when py then '.py' else '.kt' end) as path,
+  case when py then 3 + 3 * n else 3 + 4 * n end as last_line
+from code_lines join (select file_id, count(*) as n from code_lines group by 1) using (file_id) join files using (file_id) where i = 0"""
+CTE["code_symbols"] = """
+select file_id, file_id * 16777216 as symbol_id, path as name, path as qualified_name, 'module' as kind, 1 as start_line,
+  case when py then last_line else last_line + 1 end as end_line, null::bigint as parent_symbol_id from code_heads
+union all
+select file_id, file_id * 16777216 + 1, head, head, 'class', 3, case when py then last_line - 1 else last_line end, file_id * 16777216 from code_heads
+union all
+select m.file_id, m.file_id * 16777216 + 2 + i, m.name, head || '.' || m.name, 'method', start_line, end_line, m.file_id * 16777216 + 1
+from code_methods m join code_heads h using (file_id)"""
+ORACLES["extract_symbols"] = sql(
+    "select file_id, symbol_id, name, qualified_name, kind, start_line::int as start_line, end_line::int as end_line, parent_symbol_id from code_symbols"
+)
+CTE["code_edges"] = """
+select file_id, file_id * 16777216 as source_symbol_id, file_id * 16777216 + 1 as target_symbol_id, head as target_name,
+  'file_contains_symbol' as kind, 'exact' as confidence, 0 as sort, 3 as line_no from code_heads
+union all
+select m.file_id, m.file_id * 16777216 + 1, m.file_id * 16777216 + 2 + i, head || '.' || m.name, 'symbol_contains_symbol', 'exact', 0, start_line
+from code_methods m join code_heads using (file_id)
+union all
+select file_id, file_id * 16777216, null, 'os', 'symbol_imports_module', 'name', 1, 1 from code_heads
+union all
+select file_id, file_id * 16777216 + 1, null, 'Base' || file_id, 'symbol_conforms_to', 'name', 2, 3 from code_heads
+union all
+select file_id, file_id * 16777216 + 2 + i, null, called, 'symbol_calls_name', 'name', 3, start_line from code_methods"""
+ORACLES["extract_edges"] = sql("""
+select file_id * 16777216 + row_number() over (partition by file_id order by sort, line_no) as edge_id,
+  source_symbol_id, target_symbol_id, target_name, kind, confidence from code_edges""")
+CTE["code_texts"] = """
+select file_id, head, py,
+  case when py then 'import os' || chr(10) || chr(10) || 'class ' || head || '(Base' || file_id || '):' || chr(10) || body
+  else 'import os' || chr(10) || chr(10) || 'class ' || head || ' : Base' || file_id || ' {' || chr(10) || body || '}' || chr(10) end as text
+from code_heads join (
+  select file_id, string_agg(case when py then '    def ' || name || '(self):' || chr(10) || '        return ' || called || '(1)' || chr(10)
+    else '    fun ' || name || '() {' || chr(10) || '        ' || called || '(1)' || chr(10) || '    }' || chr(10) end, chr(10) order by i) as body
+  from code_methods group by 1) using (file_id)"""
+ORACLES["extract_chunks"] = sql("""
+select s.symbol_id as chunk_id, s.symbol_id, s.start_line::int as start_line, s.end_line::int as end_line,
+  sha256(case when s.kind = 'module' then t.text else array_to_string(string_split(t.text, chr(10))[s.start_line:s.end_line], chr(10)) end) as hash
+from code_symbols s join code_texts t using (file_id)""")

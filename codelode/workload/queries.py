@@ -10,6 +10,7 @@ from codelode.operators import candidates as cd
 from codelode.operators import clusters, graph, related
 from codelode.operators import source_tests as st
 from codelode.operators import evaluate as ev
+from codelode.operators import extract
 from codelode.operators import fulltext as ft
 from codelode.operators import index as ix
 from codelode.plans import search
@@ -288,3 +289,23 @@ QUERIES.update({
         evidence_lines, text_kernels,
     )
 })
+
+
+def extract_symbols(spark, sf):
+    """Symbols found in code written from the documents."""
+    return extract.symbols(corpus.code_files(spark, sf)).select(
+        "file_id", "symbol_id", "name", "qualified_name", "kind", "start_line", "end_line", "parent_symbol_id")
+
+
+def extract_edges(spark, sf):
+    """Edges found in code written from the documents."""
+    return extract.extract(corpus.code_files(spark, sf)).edges.select(
+        "edge_id", "source_symbol_id", "target_symbol_id", "target_name", "kind", "confidence")
+
+
+def extract_chunks(spark, sf):
+    rel = extract.extract(corpus.code_files(spark, sf))
+    return rel.chunks.select("chunk_id", "symbol_id", "start_line", "end_line", F.sha2("text", 256).alias("hash"))
+
+
+QUERIES.update({f.__name__: f for f in (extract_symbols, extract_edges, extract_chunks)})

@@ -53,8 +53,8 @@ def compare(spark, con, name: str, sf: str) -> str:
     theirs = sorted((tuple(norm(r[i]) for i in order) for r in rel.fetchall()), key=repr)
     if ours == theirs:
         return f"ok {len(ours)} rows spark {spent:.1f}s duckdb {time.time() - start:.1f}s"
-    only = [r for r in ours if r not in set(theirs)][:3]
-    missing = [r for r in theirs if r not in set(ours)][:3]
+    left, right = set(ours), set(theirs)
+    only, missing = [r for r in ours if r not in right][:3], [r for r in theirs if r not in left][:3]
     return f"MISMATCH {len(ours)} vs {len(theirs)} rows; only ours {only}; only theirs {missing}"
 
 
