@@ -59,6 +59,11 @@ def cluster_stem(t: Column) -> Column:
     return F.regexp_replace(t, "(ing|ed|es|s)$", "")
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends; takes one argument, so it can be mapped over arrays."""
+    return F.trim(c, F.lit(" \t\r\n\f\v\u00a0"))
+
+
 def words(normalized: Column, min_length: int = 1) -> Column:
     """Whitespace tokens of an already normalised string."""
     return F.filter(F.split(normalized, r"\s+"), lambda t: F.length(t) >= min_length)
@@ -191,7 +196,7 @@ def evidence_line(text: Column, terms: Column, width: int = 96) -> Column:
     far is a definition line and the new one is not.
     """
     wanted = F.filter(F.transform(terms, normalize_loose), lambda t: F.length(t) >= 2)
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), strip), lambda s: s != "")
 
     def signature(s: Column) -> Column:
         return s.rlike(r"^(async\s+def|def|class)\s")

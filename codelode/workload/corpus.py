@@ -25,7 +25,12 @@ _WORD = r"[A-Za-z]{2,}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Long texts in fewer files than cores are spread over the cores first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and len(df.inputFiles()) < cores:
+        return df.repartition(cores, "doc_id")
+    return df
 
 
 def _folder(source: Column) -> Column:
