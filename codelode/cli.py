@@ -57,7 +57,9 @@ def _request(spark, args) -> DataFrame:
         row = (0, q["terms"], _checked(q.get("symbolKinds") or [], KINDS, "kind"), _checked(q.get("roles") or [], ROLES, "role"),
                bool(q.get("excludeSupportCode")), q.get("pathHints"), q.get("pathMode"), q.get("expand"), q.get("limit") or args.limit)
     else:
-        terms = _list(args.term) or (args.question or "").split()
+        # a plain question to query is one text, not a list of identifiers
+        plain = (args.question or "").strip()
+        terms = _list(args.term) or ([plain] if args.command == "query" and plain else plain.split())
         if not terms:
             raise ValueError("give a question or at least one --term")
         if args.role and args.exclude_support_code:
