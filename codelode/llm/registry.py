@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codelode.llm import chat, exact_dedup, mixing
+from codelode.llm import bpe, chat, exact_dedup, language, mixing, secrets, token_count, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", *(secrets.count("base", kind).alias(f"n_{kind}") for kind in secrets.KINDS),
+        F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"),
+    )
+
+
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    fold = language.held_out(F.col("doc_id"))
+    learned = language.learn(docs.where(~fold).select("doc_id", "text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), learned)
+    return found.select("doc_id", fold.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op3_token_count(spark: SparkSession, sf: str, limit: int = 2048) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    counted = token_count.count_tokens(table(spark, sf, "documents"), vocabulary)
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
 def op4_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.sql(
@@ -24,14 +49,29 @@ def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+
+
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf, "documents"))
 
 
+def op10_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_language_id": op2_language_id,
+    "op3_token_count": op3_token_count,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_mixing": op9_mixing,
+    "op10_topk": op10_topk,
 }
 
 ORACLES = {
@@ -43,5 +83,21 @@ with t as (
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = min(doc_id) over w as kept, text_sha256
 from t window w as (partition by text_sha256)
+""",
+    "op10_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id,
+         cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id
+  where q.vec_id % 50 = 0
+)
+select query_id, cast(rank as int) as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+) where rank <= 5
 """,
 }
