@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import bpe, chat, exact_dedup, language, mixing, secrets, token_count, topk
+from codelode.llm import bpe, chat, exact_dedup, language, mixing, ngram_join, secrets, token_count, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op4_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     return chat.read_back(chat.format_windows(rows.unionByName(added)))
 
 
+def op5_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_token_count": op3_token_count,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_ngram_join": op5_ngram_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_mixing": op9_mixing,
@@ -75,6 +80,35 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_ngram_join": """
+with recursive w as (
+  select doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x20\\x09-\\x0D]+') as words
+  from documents
+), s as (
+  select distinct doc_id, unnest(case
+    when len(words) = 0 then []
+    when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) end) as shingle
+  from w
+), n as (select doc_id, count(*) as n from s group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b
+  from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, na.n, nb.n
+  having 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), reach as (
+  select doc_id as a, doc_id as b from documents
+  union
+  select reach.a, links.b from reach join links on reach.b = links.a
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, r.component_id
+from documents d
+left join n on n.doc_id = d.doc_id
+join (select a, min(b) as component_id from reach group by a) r on r.a = d.doc_id
+""",
     "op6_exact_dedup": """
 with t as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) as text_sha256
