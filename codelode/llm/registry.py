@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import bpe, chat, exact_dedup, language, mixing, ngram_join, secrets, token_count, topk
+from codelode.llm import bpe, chat, exact_dedup, language, mixing, ngram_join, secrets, suffix_dedup, token_count, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,6 +59,12 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf, "documents"))
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op5_ngram_join": op5_ngram_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
 }
