@@ -28,13 +28,12 @@ def local_session(app: str = "codelode", cores: str = "*", partitions: int = 8,
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` through the reliable checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The reliable folder that all executors share, set as the checkpoint folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local
-    master without the setting gets a temporary one.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local master without
+    the setting gets a temporary one.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,4 +42,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="codelode-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
