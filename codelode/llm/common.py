@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from codelode.session import checkpoint_folder
+
 
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]]) -> DataFrame:
     """``mapInArrow`` with a set-up per task: ``make()`` gives the function that turns a batch into batches."""
@@ -42,3 +45,11 @@ def flat_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return whole[ends[0]:ends[-1]], ends - ends[0]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -1,13 +1,79 @@
-"""Stages of the corpus pipeline (filled in below as operators arrive)."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
+
+1. ``language``: documents whose language the classifier rejects go. It learns
+   from the labelled rows of the stage's input outside the held-out fold.
+2. ``exact``: of documents with equal text the one with the smallest id stays.
+3. ``near``: of each group linked by word shingles (five words, similarity 0.8)
+   the document with the smallest id stays.
+4. ``mix``: sources are mixed to their target weights. A document's copies are the
+   words that the mix takes from it over its size, rounded up or down by a hash of
+   its id so that the sum of words keeps to the target; none means that it goes.
+5. ``tokens``: byte-level BPE ids of every document, checked by decoding.
+
+Rows with a null id pass stages 2 and 3 by their text and stage 4 by their source
+like any others; documents without words leave in stage 4.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codelode.llm import bpe, exact_dedup, language, mixing, ngram_join
+from codelode.llm.common import written
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    learned = language.learn(docs.where(~language.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    found = language.identify(docs, learned)
+    return found.where("not rejected").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), "text_sha256").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (exact_dedup.digest(F.col("text")) == F.col("text_sha256"))
+    return docs.join(kept, same, "left_semi")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    linked = ngram_join.ngram_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(linked, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = 7) -> DataFrame:
+    mixed = mixing.mix_sources(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
+    times = mixed.where("size > 0").select(
+        F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("_times")
+    ).where("_times > 0")
+    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("language", language_stage),
+    ("exact", exact_stage),
+    ("near", near_stage),
+    ("mix", mix_stage),
+    ("tokens", token_stage),
+]
+
+#: Compression, shingle hashes, the drawing of blocks and BPE are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
