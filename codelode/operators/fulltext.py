@@ -143,10 +143,10 @@ def hard_filter(kind: Column, role: Column) -> Column:
 
 
 def best(ranked: DataFrame, keys: list[str], order: list[Column], k) -> DataFrame:
-    """The first ``k`` rows per key with their 1-based position."""
+    """The first ``k`` rows per key (all, if it is None) with their 1-based position."""
     window = W.partitionBy(*keys).orderBy(*order)
     numbered = ranked.withColumn("position", F.row_number().over(window))
-    return numbered.filter(F.col("position") <= k)
+    return numbered if k is None else numbered.filter(F.col("position") <= k)
 
 
 def question_phrases(queries: DataFrame, question: str = "question") -> DataFrame:

@@ -13,6 +13,7 @@ from codelode.operators import candidates as cd
 from codelode.operators import fulltext as ft
 from codelode.operators import graph
 from codelode.operators import rank as rk
+from codelode.schemas import DEFAULT_LIMITS, Limits
 from codelode.session import cut_lineage
 
 UNIT_COLUMNS = [
@@ -20,10 +21,12 @@ UNIT_COLUMNS = [
 ]
 
 
-def intent_candidates(index, queries: DataFrame, rules: Sequence[intent.LiteralRule]) -> DataFrame:
-    """The twelve best-boosted symbols of each request's pool; none when tests are asked for."""
+def intent_candidates(
+    index, queries: DataFrame, rules: Sequence[intent.LiteralRule], limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """The ``limits.intents`` best-boosted symbols of each request's pool; none when tests are asked for."""
     wanted = queries.filter(~F.array_contains(F.coalesce("roles", F.array()), "test"))
-    pool = cd.intent_pool(index, wanted, intent.seed_terms(wanted, rules)).filter("kind != 'module'")
+    pool = cd.intent_pool(index, wanted, intent.seed_terms(wanted, rules), limits).filter("kind != 'module'")
     rows = (
         pool.select("query_id", "chunk_id", "rank", "position")
         .join(index.units.select(*UNIT_COLUMNS), "chunk_id")
@@ -34,7 +37,7 @@ def intent_candidates(index, queries: DataFrame, rules: Sequence[intent.LiteralR
     # down and repeat every rule expression inside the filter
     return ft.best(
         boosted.select("query_id", "chunk_id", "rank", "boost", "reasons", F.col("position").alias("pool_position")),
-        ["query_id"], [F.col("boost").desc(), F.col("pool_position")], cd.INTENT_LIMIT,
+        ["query_id"], [F.col("boost").desc(), F.col("pool_position")], limits.intents,
     ).filter("boost > 0")
 
 
@@ -66,7 +69,7 @@ def score_candidates(index, queries: DataFrame, merged: DataFrame) -> DataFrame:
 
 def search(
     index, queries: DataFrame, mode: str = "symbol",
-    rules: Sequence[intent.LiteralRule] = intent.LITERAL_RULES,
+    rules: Sequence[intent.LiteralRule] = intent.LITERAL_RULES, limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Ranked matches of every request.
 
@@ -74,7 +77,7 @@ def search(
     score, adjusted, why, evidence, neighbours.
     """
     queries = queries if "question" in queries.columns else cd.with_question(queries)
-    fts = cd.fts_candidates(index, queries)
+    fts = cd.fts_candidates(index, queries, limits=limits)
     if mode == "fts":
         rows = fts.join(index.units.select(*UNIT_COLUMNS), "chunk_id").join(
             queries.select("query_id", "question", "limit"), "query_id"
@@ -85,8 +88,8 @@ def search(
         )
     else:
         merged = cd.merge(
-            cd.exact_candidates(index, queries), cd.path_hint_candidates(index, queries),
-            intent_candidates(index, queries, rules), fts,
+            cd.exact_candidates(index, queries, limits), cd.path_hint_candidates(index, queries, limits),
+            intent_candidates(index, queries, rules, limits), fts,
         )
         matches = rk.rank(score_candidates(index, queries, merged), mode)
     columns = [

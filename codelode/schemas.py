@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 FILES = "file_id long, path string, hash string, language string, role string"
 SYMBOLS = (
     "symbol_id long, file_id long, name string, qualified_name string, kind string, "
@@ -30,3 +32,33 @@ MODES = ("symbol", "fts", "hybrid")
 # by path and then by extraction order, without one global sort of the rows.
 ORDINAL_BITS = 24
 ORDINAL_SPAN = 1 << ORDINAL_BITS
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How many rows each source may contribute to one request; ``None`` is no cut.
+
+    Every cut comes after the request's hard filters. The defaults are the fixed
+    values of the ranking; the SQL equivalents take the same ones.
+    """
+
+    fts: int | None = 25
+    fts_tests: int | None = 100
+    exact_terms: int | None = 12
+    exact: int | None = 40
+    path_hints: int | None = 30
+    pool_words: int | None = 8
+    pool_word_rows: int | None = 80
+    pool_seeds: int | None = 12
+    pool_seed_rows: int | None = 120
+    pool: int | None = 300
+    intents: int | None = 12
+    cluster_rows: int | None = 250
+    cluster_path_rows: int | None = 1000
+    cluster_hint_rows: int | None = 160
+    cluster_terms: int | None = 10
+    cluster_term_rows: int | None = 80
+    cluster_symbols: int | None = 12
+
+
+DEFAULT_LIMITS = Limits()

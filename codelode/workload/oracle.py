@@ -190,17 +190,21 @@ CTE["word_hits"] = """
 select phrase, chunk_id, kind, role, dl, tf as f from posts
 join (select distinct phrase from word_lists where length(phrase) >= 2) p on p.phrase = posts.term"""
 CTE["word_parts"] = weights("word_hits")
-CTE["word_top"] = """
-select word, chunk_id, rank from (
-  select word, chunk_id, rank, row_number() over (partition by word order by rank, chunk_id) as rn
-  from (select word, chunk_id, round(sum(w), 9) as rank from word_parts join (select distinct * from word_lists) using (phrase) group by all))
+CTE["word_top"] = f"""
+select query_id, word, chunk_id, rank from (
+  select query_id, word, chunk_id, rank, row_number() over (partition by query_id, word order by rank, chunk_id) as rn
+  from (
+    select w.query_id, w.word, p.chunk_id, round(sum(p.w), 9) as rank
+    from pool_words w join (select distinct * from word_lists) using (word) join word_parts p using (phrase)
+    join requests r on r.query_id = w.query_id join units u on u.chunk_id = p.chunk_id
+    where {_HARD.replace(', kind)', ', u.kind)').replace(', role)', ', u.role)').replace('or role =', 'or u.role =')} and {_ALLOWED}
+    group by all))
 where rn <= 80"""
-CTE["pool"] = f"""
+CTE["pool"] = """
 select query_id, chunk_id, rank, source_rank, kind, position from (
   select *, row_number() over (partition by query_id order by source_rank, rank, path, symbol_start, chunk_id) as position
-  from (select query_id, chunk_id, min(rank) as rank, min(place) as source_rank from pool_words join word_top using (word) group by all) p
-  join units using (chunk_id) join requests using (query_id)
-  where {_HARD} and {_ALLOWED})
+  from (select query_id, chunk_id, min(rank) as rank, min(place) as source_rank from pool_words join word_top using (query_id, word) group by all) p
+  join units using (chunk_id))
 where position <= 300"""
 CTE["merged"] = """
 select query_id, chunk_id, max(boost) as boost, min(rank) as rank, min(fts_position) as fts_position,
