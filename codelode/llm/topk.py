@@ -88,7 +88,7 @@ def _search(block: pd.DataFrame, group: pd.DataFrame, turn: np.ndarray, k: int,
     slack = 1e-9 * own * length[0] + 1e-6
     c, q = cand.astype(float) @ turn, query.astype(float) @ turn
     c_rest, q_rest = np.linalg.norm(c[:, head:], axis=1), np.linalg.norm(q[:, head:], axis=1)
-    best = np.full((len(names), k), -np.iinfo(np.int64).max, np.int64)  # ascending
+    best = np.full((len(names), k), -np.iinfo(np.int64).max, np.int64)  # ascending scores
     where = np.full((len(names), k), -1, np.int64)
     alive = np.arange(len(names))
     for first in range(0, len(ids), STEP):
@@ -100,17 +100,21 @@ def _search(block: pd.DataFrame, group: pd.DataFrame, turn: np.ndarray, k: int,
         bound = q[alive, :head] @ c[part, :head].T
         bound += q_rest[alive, None] * c_rest[None, part]
         may = (bound + slack[alive, None] >= best[alive, 0].astype(float)[:, None]) & (names[alive, None] != ids[None, part])
-        rows, cols = np.nonzero(may)
+        own_rows, own_cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+        if not len(own_rows):
+            continue
+        left, right = query[alive[own_rows]], cand[first + own_cols]
+        score = left.astype(float) @ right.T.astype(float) if exact else left @ right.T
+        may = may[np.ix_(own_rows, own_cols)]
+        low = best[alive[own_rows], 0]
+        if len(own_cols) > k:  # at most the k best of the step can enter
+            ranked = np.where(may, score, -np.inf if exact else best.min())
+            low = np.maximum(low, np.partition(ranked, -k, 1)[:, -k])
+        rows, cols = np.nonzero(may & (score >= low[:, None]))
         if not len(rows):
             continue
-        cols += first
-        score = np.empty(len(rows), np.int64)
-        for a in range(0, len(rows), 1 << 18):
-            left, right = query[alive[rows[a:a + (1 << 18)]]], cand[cols[a:a + (1 << 18)]]
-            if exact:
-                score[a:a + (1 << 18)] = np.einsum("ij,ij->i", left.astype(float), right.astype(float))
-            else:
-                score[a:a + (1 << 18)] = (left * right).sum(1)
+        score = score[rows, cols].astype(np.int64)
+        rows, cols = own_rows[rows], own_cols[cols] + first
         rank = np.lexsort((ids[cols], -score, rows))
         rows, cols, score = rows[rank], cols[rank], score[rank]
         start = np.flatnonzero(np.diff(rows, prepend=-1))
