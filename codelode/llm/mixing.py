@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from codelode.session import cut_lineage
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: Primes just above 10**12.
 STEPS = (1000000000039, 1000000000061, 1000000000063, 1000000000091, 1000000000121, 1000000000163)
 
@@ -87,6 +87,7 @@ def _drawn(sources: DataFrame, block: int, shard_slots: int, cap: int, seed: int
     shards = shards.withColumn("count", below("high") - below("low"))
     earlier = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.withColumn("first", F.coalesce(F.sum("count").over(earlier), F.lit(0))).where("count > 0")
+    shards = shards.repartition("place", "shard")  # the slots are made in many tasks
     slots = shards.select(
         "place", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("slot")
     ).withColumn("round", F.expr("slot div blocks")).where(F.col("round") < cap)
@@ -132,7 +133,8 @@ def mix_sources(
     overlap = F.least(F.col("at") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest(
         F.col("at"), F.col("block_no") * block
     )
-    drawn = _drawn(sources, block, shard_slots, cap, seed)
+    # the planner takes the exploded slots for as few rows as the sources; they must not be broadcast
+    drawn = _drawn(sources, block, shard_slots, cap, seed).hint("merge")
     taken = pieces.join(drawn, ["place", "block_no"], "left")
     keys = ["place", "bucket", "line", "doc_id", "size", "source_size", "target"]
     return taken.groupBy(*keys).agg(
