@@ -36,7 +36,7 @@ def _checked(values: list[str], allowed: tuple[str, ...], what: str) -> list[str
 
 
 def _index_path(args) -> str:
-    return args.index_path or os.path.join(os.path.abspath(args.target), ".codeindex", "index")
+    return args.index_path or os.path.join(os.path.abspath(args.target), ".codelode", "index")
 
 
 def build(spark, args) -> None:

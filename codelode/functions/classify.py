@@ -10,7 +10,7 @@ from codelode.functions.text import basename
 # Directory names and file endings with a meaning.
 IGNORED_DIRS = (
     ".git", ".worktrees", ".hg", ".svn", ".venv", "venv", "node_modules", "dist", "build",
-    "coverage", "target", ".next", ".codeindex", "__pycache__",
+    "coverage", "target", ".next", ".codeindex", ".codelode", "__pycache__",
 )
 SUPPORT_DIRS = (
     "tests", "test", "__tests__", "spec", "specs", "_tests", "type_tests", "testing",

@@ -12,23 +12,32 @@ from codelode.operators.related import _pieces
 
 BASELINE_LIMIT = 5
 PATH_POINTS = 3
+SLOTS = 256
 
 
 def group_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Upper median, minimum, maximum and spread per group.
 
-    The position is found by rank within the group; groups are sorted on disk
-    by the window, not collected.
+    Equal values are counted first. Values fall into slots that keep their
+    order; the slot that holds the median follows from the slots' counts, and
+    only its values are ranked, so a large group is never sorted in one task.
     """
+    v = F.col(value).cast("double")
+    slot = F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * SLOTS).alias("slot")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.select(*keys, value, "c", slot)
+    slots = counts.groupBy(*keys, "slot").agg(F.sum("c").alias("c"), F.min(value).alias("low"), F.max(value).alias("high"))
     w = W.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).select(
-        *keys, value,
-        F.row_number().over(w.orderBy(value)).alias("rn"), F.count(F.lit(1)).over(w).alias("n"),
+    upto = F.sum("c").over(w.orderBy("slot").rowsBetween(W.unboundedPreceding, 0))
+    placed = slots.select(
+        *keys, "slot", (upto - F.col("c")).alias("before"), upto.alias("upto"), F.sum("c").over(w).alias("runs"),
+        F.min("low").over(w).alias("low"), F.max("high").over(w).alias("high"),
+    ).withColumn("rank", F.floor(F.col("runs") / 2) + 1).filter("before < rank and rank <= upto")
+    inner = F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
+    ranked = counts.join(placed, [*keys, "slot"]).withColumn("inner", inner).filter("inner >= rank")
+    return ranked.groupBy(*keys, "low", "high", "runs").agg(F.min(value).alias("median")).select(
+        *keys, "low", "median", "high", "runs", (F.col("high") - F.col("low")).alias("spread")
     )
-    return ranked.groupBy(*keys).agg(
-        F.min(value).alias("low"), F.max(F.when(F.col("rn") == F.floor(F.col("n") / 2) + 1, F.col(value))).alias("median"),
-        F.max(value).alias("high"), F.count(F.lit(1)).alias("runs"),
-    ).withColumn("spread", F.col("high") - F.col("low"))
 
 
 def expected_hits(results: DataFrame, expected: DataFrame) -> DataFrame:
@@ -194,7 +203,7 @@ def compare_artifacts(
 
 
 def condition_summary(reviews: DataFrame) -> DataFrame:
-    """Per condition: outcomes, mean quality, median cost, most frequent failure.
+    """Per condition: outcomes, mean quality, median cost, all failure modes with their counts.
 
     ``reviews``: condition, success ('pass', 'partial', 'fail'), quality, tokens, failure_mode.
     """
@@ -207,9 +216,12 @@ def condition_summary(reviews: DataFrame) -> DataFrame:
     )
     medians = group_medians(reviews, ["condition"], "tokens").select("condition", F.col("median").alias("median_tokens"))
     modes = reviews.filter("failure_mode is not null").groupBy("condition", "failure_mode").agg(F.count(F.lit(1)).alias("n"))
-    top = ft.best(modes, ["condition"], [F.col("n").desc(), F.col("failure_mode")], 1).select(
-        "condition", F.col("failure_mode").alias("top_failure"), F.col("n").alias("top_failures"))
-    return base.join(medians, "condition", "left").join(top, "condition", "left")
+    # one entry for each distinct mode
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), F.col("failure_mode").alias("mode"))))
+    histogram = modes.groupBy("condition").agg(listed.alias("listed")).select(
+        "condition", F.transform("listed", lambda x: F.struct(x["mode"].alias("mode"), (-x["order"]).alias("n"))).alias("failures")
+    )
+    return base.join(medians, "condition", "left").join(histogram, "condition", "left")
 
 
 def mention_rates(answers: DataFrame, expected: DataFrame) -> DataFrame:
@@ -245,8 +257,8 @@ def trace_report(events: DataFrame) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return events.groupBy("session").agg(
         F.count(F.lit(1)).alias("events"),
-        F.sum((F.col("type") == "agent-index-query").cast("int")).alias("queries"),
-        F.sum((F.col("type") == "rg-fallback").cast("int")).alias("fallbacks"),
+        F.sum((F.col("type") == "index-query").cast("int")).alias("queries"),
+        F.sum((F.col("type") == "search-fallback").cast("int")).alias("fallbacks"),
         F.sum((F.col("type") == "code-change").cast("int")).alias("changes"),
         F.sum((F.col("type") == "verification").cast("int")).alias("verifications"),
         F.sum((F.col("type") == "lesson").cast("int")).alias("lessons"),

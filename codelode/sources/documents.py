@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 AGENT_QUERY = (
     "struct<terms:array<string>,symbolKinds:array<string>,pathHints:array<string>,pathMode:string,"
@@ -11,7 +12,7 @@ AGENT_QUERY = (
 )
 QUESTIONS = f"id string, question string, agentQuery {AGENT_QUERY}, expected struct<files:array<string>,symbols:array<string>>"
 NAVIGATION = (
-    f"id string, task string, kind string, agentIndexQueries array<{AGENT_QUERY}>, rgQueries array<array<string>>, "
+    f"id string, task string, kind string, indexQueries array<{AGENT_QUERY}>, searchQueries array<array<string>>, "
     "expected struct<files:array<string>,symbols:array<string>,requiredFiles:array<string>,requiredSymbols:array<string>>"
 )
 REVIEWS = (
@@ -25,8 +26,12 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUESTIONS).json(path, multiLine=True)
 
 
-def read_navigation(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(NAVIGATION).json(path, multiLine=True)
+def read_navigation(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
+    """Navigation cases; ``names`` gives the field names that other files use for ours."""
+    names = names or {}
+    schema = T.StructType.fromDDL(NAVIGATION)
+    foreign = T.StructType([T.StructField(names.get(f.name, f.name), f.dataType) for f in schema])
+    return spark.read.schema(foreign).json(path, multiLine=True).toDF(*schema.names)
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
@@ -53,12 +58,18 @@ def expectations(requests: DataFrame) -> DataFrame:
         requests.select("query_id", F.explode("expected.symbols").alias("value")).withColumn("kind", F.lit("symbol")))
 
 
-def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a JSON-lines trace. Lines that do not parse, and empty traces, are errors."""
+def read_trace(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
+    """Events of a JSON-lines trace. Lines that do not parse, and empty traces, are errors.
+
+    ``types`` maps the event types of other tools to ours: index-query,
+    search-fallback, code-change, verification, lesson.
+    """
     raw = spark.read.schema(TRACE).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     checked = raw.withColumn(
         "type", F.when(F.col("_corrupt").isNotNull(), F.raise_error(F.concat(F.lit("bad trace line: "), "_corrupt"))).otherwise(F.col("type"))
     )
+    if types:
+        checked = checked.replace(types, subset=["type"])
     return checked.drop("_corrupt").withColumn("ts", F.to_timestamp("timestamp"))
 
 

@@ -216,23 +216,32 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents rewritten, row by row, as source code: a class with a method per line.
 
     English documents become Python, the others Kotlin. A method is named by
-    its number and the line's first two words and calls its last word.
+    its number and the line's first two words, calls its last word and carries
+    the whole line as a comment; lines with fewer than two words are comments of
+    the import. An opening round bracket in a comment would be read as a call and
+    becomes a square one. Documents without a line of two words have no class and
+    are left out.
     """
     base = paths(table(spark, sf_dir, "documents"))
     ws = lambda s: F.regexp_extract_all(s, F.lit(_WORD), F.lit(0))
-    kept = F.filter(F.transform(F.split("text", "\n"), ws), lambda w: F.size(w) >= 2)
-    head = F.transform(F.slice(kept, 1, 1), lambda w: F.concat(_camel(w[0]), _camel(w[1])))[0]
+    said = lambda s: F.replace(s, F.lit("("), F.lit("["))
+    split = F.split("text", "\n")
+    rest = said(F.array_join(F.filter(split, lambda s: F.size(ws(s)) < 2), " "))
+    kept = F.filter(F.transform(split, lambda s: F.struct(s.alias("line"), ws(s).alias("w"))), lambda x: F.size(x["w"]) >= 2)
+    head = F.transform(F.slice(kept, 1, 1), lambda x: F.concat(_camel(x["w"][0]), _camel(x["w"][1])))[0]
     name = lambda w, i: F.concat(F.lit("m"), i.cast("string"), F.lit("_"), F.lower(w[0]), F.lit("_"), F.lower(w[1]))
     called = lambda w: F.concat(F.lit("call_"), F.lower(F.element_at(w, -1)))
     python = F.concat(
-        F.lit("import os\n\nclass "), head, F.lit("(Base"), F.col("file_id").cast("string"), F.lit("):\n"),
-        F.array_join(F.transform(kept, lambda w, i: F.concat(
-            F.lit("    def "), name(w, i), F.lit("(self):\n        return "), called(w), F.lit("(1)\n"))), "\n"),
+        F.lit("import os  # "), rest, F.lit("\n\nclass "), head, F.lit("(Base"), F.col("file_id").cast("string"), F.lit("):\n"),
+        F.array_join(F.transform(kept, lambda x, i: F.concat(
+            F.lit("    def "), name(x["w"], i), F.lit("(self):  # "), said(x["line"]), F.lit("\n        return "), called(x["w"]),
+            F.lit("(1)\n"))), "\n"),
     )
     kotlin = F.concat(
-        F.lit("import os\n\nclass "), head, F.lit(" : Base"), F.col("file_id").cast("string"), F.lit(" {\n"),
-        F.array_join(F.transform(kept, lambda w, i: F.concat(
-            F.lit("    fun "), name(w, i), F.lit("() {\n        "), called(w), F.lit("(1)\n    }\n"))), "\n"), F.lit("}\n"),
+        F.lit("import os  // "), rest, F.lit("\n\nclass "), head, F.lit(" : Base"), F.col("file_id").cast("string"), F.lit(" {\n"),
+        F.array_join(F.transform(kept, lambda x, i: F.concat(
+            F.lit("    fun "), name(x["w"], i), F.lit("() {  // "), said(x["line"]), F.lit("\n        "), called(x["w"]),
+            F.lit("(1)\n    }\n"))), "\n"), F.lit("}\n"),
     )
     py = F.col("path").endswith(".py")
     shaped = base.filter(F.size(kept) > 0).select(

@@ -504,12 +504,12 @@ union all select user_id, 'tokens', tokens, c_tokens from j where c_tokens > tok
 ORACLES["condition_summary"] = """
 with r as (select event_type as condition, value, (props->>'$.k')::int as k from events),
 m as (select condition, 'mode_' || (k % 7) as mode, count(*) as n from r where value < 5 group by all),
-t as (select condition, mode, n from m qualify row_number() over (partition by condition order by n desc, mode) = 1),
+t as (select condition, string_agg(mode || ':' || n, ',' order by n desc, mode) as failures from m group by 1),
 d as (select condition, max(case when rn = n // 2 + 1 then k end) as median_tokens from (
   select condition, k, row_number() over (partition by condition order by k) as rn, count(*) over (partition by condition) as n from r where k is not null) group by 1)
 select condition, count(*) as reviews, count(*) filter (value >= 20) as passed, count(*) filter (value >= 5 and value < 20) as partial,
   count(*) filter (not (value >= 5) or value is null) as failed, round(avg(k % 6), 4) as mean_quality,
-  any_value(median_tokens) as median_tokens, any_value(t.mode) as top_failure, any_value(t.n) as top_failures
+  any_value(median_tokens) as median_tokens, any_value(t.failures) as failures
 from r left join d using (condition) left join t using (condition) group by 1"""
 ORACLES["trace_report"] = """
 select user_id as session, count(*) as events, count(*) filter (event_type = 'view') as queries, count(*) filter (event_type = 'error') as fallbacks,
@@ -528,11 +528,14 @@ select conv_id, turn, {strict('text')} as strict, {loose('text')} as loose,
   array_to_string({fts('text')}, ' ') as fts, ceil(length(text) / 4)::bigint as tokens
 from conversations"""
 
+CTE["code_rest"] = """
+select file_id, translate(coalesce(string_agg(line, ' ' order by line_no), ''), '(', '[') as rest from raw_lines
+where len(regexp_extract_all(line, '[A-Za-z]{2,}')) < 2 group by 1"""
 CTE["code_lines"] = """
-select l.file_id, l.ws, row_number() over (partition by l.file_id order by l.line_no) - 1 as i, d.ending = '.py' as py
+select l.file_id, l.ws, translate(l.line, '(', '[') as line, row_number() over (partition by l.file_id order by l.line_no) - 1 as i, d.ending = '.py' as py
 from lines l join docs d using (file_id)"""
 CTE["code_methods"] = """
-select file_id, py, i, 'm' || i || '_' || lower(ws[1]) || '_' || lower(ws[2]) as name, 'call_' || lower(ws[-1]) as called,
+select file_id, py, i, line, 'm' || i || '_' || lower(ws[1]) || '_' || lower(ws[2]) as name, 'call_' || lower(ws[-1]) as called,
   case when py then 4 + 3 * i else 4 + 4 * i end as start_line, case when py then 5 + 3 * i else 6 + 4 * i end as end_line
 from code_lines"""
 CTE["code_heads"] = f"""
@@ -568,11 +571,11 @@ select file_id * 16777216 + row_number() over (partition by file_id order by sor
   source_symbol_id, target_symbol_id, target_name, kind, confidence from code_edges""")
 CTE["code_texts"] = """
 select file_id, head, py,
-  case when py then 'import os' || chr(10) || chr(10) || 'class ' || head || '(Base' || file_id || '):' || chr(10) || body
-  else 'import os' || chr(10) || chr(10) || 'class ' || head || ' : Base' || file_id || ' {' || chr(10) || body || '}' || chr(10) end as text
-from code_heads join (
-  select file_id, string_agg(case when py then '    def ' || name || '(self):' || chr(10) || '        return ' || called || '(1)' || chr(10)
-    else '    fun ' || name || '() {' || chr(10) || '        ' || called || '(1)' || chr(10) || '    }' || chr(10) end, chr(10) order by i) as body
+  case when py then 'import os  # ' || rest || chr(10) || chr(10) || 'class ' || head || '(Base' || file_id || '):' || chr(10) || body
+  else 'import os  // ' || rest || chr(10) || chr(10) || 'class ' || head || ' : Base' || file_id || ' {' || chr(10) || body || '}' || chr(10) end as text
+from (select h.*, coalesce(c.rest, '') as rest from code_heads h left join code_rest c using (file_id)) join (
+  select file_id, string_agg(case when py then '    def ' || name || '(self):  # ' || line || chr(10) || '        return ' || called || '(1)' || chr(10)
+    else '    fun ' || name || '() {  // ' || line || chr(10) || '        ' || called || '(1)' || chr(10) || '    }' || chr(10) end, chr(10) order by i) as body
   from code_methods group by 1) using (file_id)"""
 ORACLES["extract_chunks"] = sql("""
 select s.symbol_id as chunk_id, s.symbol_id, s.start_line::int as start_line, s.end_line::int as end_line,

@@ -250,11 +250,12 @@ def condition_summary(spark, sf):
         (k % 6).alias("quality"), k.alias("tokens"),
         F.when(F.col("value") < 5, F.concat(F.lit("mode_"), (k % 7).cast("string"))).alias("failure_mode"),
     )
-    return ev.condition_summary(reviews)
+    shown = F.transform("failures", lambda x: F.concat_ws(":", x["mode"], x["n"].cast("string")))
+    return ev.condition_summary(reviews).withColumn("failures", F.array_join(shown, ","))
 
 
 def trace_report(spark, sf):
-    kinds = {"view": "agent-index-query", "error": "rg-fallback", "purchase": "code-change", "signup": "verification"}
+    kinds = {"view": "index-query", "error": "search-fallback", "purchase": "code-change", "signup": "verification"}
     kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in kinds.items()], F.lit("lesson"))
     e = corpus.table(spark, sf, "events").select(
         F.col("user_id").alias("session"), kind.alias("type"),
