@@ -22,6 +22,7 @@ stably by symbol, which makes the vector right for one more symbol; block border
 are carried along, and the round in which a border appears is the common prefix
 of its neighbours. After ``depth`` rounds the blocks are the intervals of
 suffixes with ``length`` bytes in common; those with two or more are repeated.
+Windows that hold a symbol of which the task has no second one are left out first.
 
 Crowded keys. A key whose pieces hold over ``GROUP_BYTES`` is dealt to several
 tasks. What repeats in one of them is settled there; of the other windows, and of
@@ -44,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import flat_texts, map_batches
+from codelode.llm.common import flat_texts, map_batches, written
 from codelode.session import cut_lineage
 
 GRAM, STRIDE, SHARDS = 16, 50, 4
@@ -181,7 +182,7 @@ def interleave(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def repeated(texts: list[bytes], length: int, shards: int = SHARDS) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each text the class of each of its windows, and the size of each class."""
+    """For each text the class of each of its windows (-1: it holds a symbol that occurs once), and the size of each class."""
     depth = length // STRIDE
     made, where, data = [], [], np.frombuffer(b"".join(texts), np.uint8)
     hashes = Hashes(data)
@@ -191,32 +192,39 @@ def repeated(texts: list[bytes], length: int, shards: int = SHARDS) -> tuple[lis
     if len(data) >= STRIDE:
         whole[:len(data) - STRIDE + 1] = hashes.every(STRIDE)
     number = _symbols(whole)
-    number[whole == 0] = 0
+    inside = np.arange(len(data)) + STRIDE <= np.repeat(begin + sizes, sizes)
+    number[~inside] = 0
+    lonely = np.cumsum(np.append(0, (np.bincount(number)[number] < 2) | ~inside))
+    reach = length - STRIDE + 1  # symbols that start in a window
+    open_ = np.zeros(len(data), bool)
+    if len(data) >= reach:
+        open_[:len(data) - reach + 1] = lonely[reach:] == lonely[:-reach]
+    first, stop = _runs(open_)
+    size = stop - first + length - 1
     for i in range(shards):
-        own = np.arange(i, len(texts), shards)
-        if not len(own):
+        at, n = first[i::shards], size[i::shards] + 1  # a row for each byte and one for the end of each run
+        if not len(at):
             continue
-        # a row for each byte and one for the end of each text, then the next text
-        n = sizes[own] + 1
         row = np.cumsum(n) - n
         local = np.arange(n.sum()) - np.repeat(row, n)
-        source = np.repeat(begin[own], n) + local
-        full = local + STRIDE <= np.repeat(sizes[own], n)
+        source = np.repeat(at, n) + local
+        full = local + STRIDE < np.repeat(n, n)
         symbol = np.where(full, number[np.minimum(source, len(data) - 1)], 0)
         prior = np.where(local >= STRIDE, number[np.maximum(source - STRIDE, 0)], 0)
         made.append(Shard(symbol, prior, depth))
-        where.append(np.where(local + length <= np.repeat(sizes[own], n), source, -1))
+        where.append(np.where(local + length < np.repeat(n, n), source, -1))
+    kind = np.full(len(data), -1, np.int64)
+    classes = [kind[b:b + max(s - length + 1, 0)] for b, s in zip(begin.tolist(), sizes.tolist())]
+    if not made:
+        return classes, np.zeros(0, np.int64)
     owner, block = interleave(made, depth)
     starts = np.empty(len(owner), np.int64)
     for i, shard in enumerate(made):
         starts[owner == i] = where[i][shard.order]
     window = starts >= 0
     starts, block = starts[window], block[window]
-    fresh = np.append(True, block[1:] != block[:-1])[:len(block)]
-    member = np.cumsum(fresh) - 1
-    kind = np.full(len(data), -1, np.int64)
+    member = np.cumsum(np.append(True, block[1:] != block[:-1])[:len(block)]) - 1
     kind[starts] = member
-    classes = [kind[b:b + max(s - length + 1, 0)] for b, s in zip(begin.tolist(), sizes.tolist())]
     return classes, np.bincount(member)
 
 
@@ -282,7 +290,7 @@ def _merged(texts: DataFrame, length: int) -> DataFrame:
         take, first, stop, half = [], [], [], []
         seen: set[int] = set()
         for i, own in enumerate(classes):
-            twice = size[own] > 1
+            twice = np.append(size, 0)[own] > 1
             if single[i]:
                 a, b = _runs(twice)
                 take += [i] * len(a)
@@ -364,12 +372,12 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         raise ValueError(f"length must be a multiple of {STRIDE}")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     who = ["doc_id", "mark"]
-    rows = cut_lineage(_piece_rows(docs.select(*who, "text"), length))
+    rows = written(_piece_rows(docs.select(*who, "text"), length), "pieces")
     keys = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("k"), F.max("places").alias("places"),
         ((F.min("print") != F.max("print")) | (F.min("windows") != F.max("windows"))).alias("several"),
     ).where("k > 1 or places > 1").select("key", (F.col("several") | (F.col("places") > 1)).alias("several"))
-    shared = cut_lineage(rows.drop("places").join(keys, "key"))
+    shared = written(rows.drop("places").join(keys, "key"), "shared")
     content = ["key", "print", "windows"]
     groups = shared.groupBy(*content).agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("start", "mark", "doc_id")).alias("rep"), F.first("several").alias("several")
