@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions import text as tx
 from codelode.functions import classify
+from codelode.functions.ids import packed
 from codelode.operators import index as ix
 from codelode.schemas import ORDINAL_SPAN
 from codelode.session import cut_lineage
@@ -91,7 +92,7 @@ def line_symbols(documents: DataFrame) -> DataFrame:
         kind.alias("kind"),
         F.when(n >= 60, F.concat(_camel(first), _camel(second)))
         .otherwise(F.concat(F.lower(first), F.lit("_"), F.lower(second))).alias("name"),
-        (F.col("file_id") * ORDINAL_SPAN + F.col("line_no")).alias("symbol_id"),
+        packed(F.col("file_id"), F.col("line_no")).alias("symbol_id"),
         F.lower(first).alias("first_word"),
         F.regexp_extract_all("line", F.lit(r"[.!?] ([A-Za-z]{2,} [A-Za-z]{2,})"), F.lit(1)).alias("openings"),
     )
@@ -156,7 +157,7 @@ def raw_edges(members: DataFrame) -> DataFrame:
 def edges(members: DataFrame) -> DataFrame:
     w = W.partitionBy("file_id").orderBy("sort", "line_no", "idx", "target_name")
     numbered = raw_edges(members).withColumn(
-        "edge_id", F.col("file_id") * ORDINAL_SPAN + F.row_number().over(w)
+        "edge_id", packed(F.col("file_id"), F.row_number().over(w))
     )
     bound = ix.last_wins(members).select(
         "file_id", F.col("qualified_name").alias("target_name"), F.col("bound_id").alias("target_symbol_id")

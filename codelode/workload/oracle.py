@@ -348,8 +348,10 @@ from c_req r join units u on r.plan in ('path-filter', 'bounded-term-fts') and {
 where {_HARD}"""
 CTE["b_pool"] = f"""
 select query_id, chunk_id, min(rank) as rank from (
-  select query_id, chunk_id, rank from b_terms join (
-    select phrase, chunk_id, round(w, 9) as rank, row_number() over (partition by phrase order by round(w, 9), chunk_id) as rn from c_parts) using (phrase)
+  select query_id, chunk_id, rank from (
+    select t.query_id, p.chunk_id, round(w, 9) as rank, row_number() over (partition by t.query_id, t.phrase order by round(w, 9), p.chunk_id) as rn
+    from b_terms t join c_parts p using (phrase) join c_req r on r.query_id = t.query_id join units u on u.chunk_id = p.chunk_id
+    where {_HARD.replace(', kind)', ', u.kind)').replace(', role)', ', u.role)').replace('or role =', 'or u.role =')})
   where rn <= 80
   union all select query_id, chunk_id, 0.0 from c_scan where plan = 'bounded-term-fts' and position <= 160)
 group by all"""
