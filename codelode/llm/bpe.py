@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from codelode.llm.common import chunks, map_batches
 
-CHUNK_CHARS = 2_000_000
-KEPT_PIECES = 400_000
+CHUNK_CHARS = 1_000_000
+KEPT_PIECES = 250_000
 NONE = np.int64(1) << 60
 
 

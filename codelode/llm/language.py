@@ -84,9 +84,13 @@ class Classifier:
 
     @staticmethod
     def _compressor(data: bytes, level: int) -> zstandard.ZstdCompressor:
+        # tables sized for a block behind a dictionary, not for the level's default window
+        params = zstandard.ZstdCompressionParameters.from_level(
+            level, source_size=BLOCK + len(PAD), dict_size=len(data), write_content_size=False, write_dict_id=False
+        )
         own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        own.precompute_compress(level)
-        return zstandard.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_dict_id=False)
+        own.precompute_compress(compression_params=params)
+        return zstandard.ZstdCompressor(compression_params=params, dict_data=own)
 
     def classify(self, text: str | None) -> tuple[str, float, float | None, bool]:
         """Language, score, what the runner-up costs more for each byte, rejected."""
