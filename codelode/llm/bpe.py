@@ -184,24 +184,53 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in found]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` without its text column, with ``out`` array<int>."""
+class Speller:
+    """Bytes of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        self.size = np.array([len(x) for x in table], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or not self.size[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        n = self.size[ids]
+        return self.flat[np.repeat(self.start[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+
+
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", decoded: str | None = None,
+) -> DataFrame:
+    """``docs`` without its text column, with ``out`` array<int>.
+
+    With ``decoded``, a column of that name holds the bytes that the ids decode
+    to, made in the same pass.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    kept = [c for c in docs.columns if c not in (text_col, out)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), f"`{out}` array<int>"])
+    made = [out, *([decoded] if decoded else [])]
+    kept = [c for c in docs.columns if c not in (text_col, *made)]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), f"`{out}` array<int>", *([f"`{decoded}` binary"] if decoded else [])])
 
     def make():
         encoder = Encoder(Vocabulary(shared.value), pattern)
+        speller = Speller(shared.value) if decoded else None
 
         def work(batch: pa.RecordBatch):
-            texts = batch.column(text_col)
-            sizes = texts.to_pylist()
-            for a, b in chunks(sizes, CHUNK_CHARS):
-                ids = encoder.encode(sizes[a:b])
+            texts = batch.column(text_col).to_pylist()
+            for a, b in chunks(texts, CHUNK_CHARS):
+                ids = encoder.encode(texts[a:b])
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                cols = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decoded:
+                    cols.append(pa.array([speller.spell(flat[s:e]) for s, e in zip(ends[:-1], ends[1:])], pa.binary()))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists], [*kept, out])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *cols], [*kept, *made])
 
         return work
 
@@ -214,24 +243,13 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{out}` binary"])
 
     def make():
-        table = [b""] * (max(shared.value.values(), default=-1) + 1)
-        for token, rank in shared.value.items():
-            table[rank] = token
-        size = np.array([len(x) for x in table], np.int64)
-        start = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(table), np.uint8)
-
-        def spelled(ids: np.ndarray) -> bytes:
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(table) or not size[ids].all()):
-                raise ValueError("an id is not in the vocabulary")
-            n = size[ids]
-            return flat[np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+        speller = Speller(shared.value)
 
         def work(batch: pa.RecordBatch):
-            lists = batch.column(ids_col)
+            lists = batch.column(ids_col).fill_null(pa.scalar([], batch.schema.field(ids_col).type))
             values = lists.values.to_numpy(zero_copy_only=False)
             ends = lists.offsets.to_numpy()
-            done = [spelled(values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+            done = [speller.spell(values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.binary())], [*batch.schema.names, out])
 
         return work

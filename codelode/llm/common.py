@@ -12,13 +12,19 @@ from pyspark.sql import DataFrame
 from codelode.session import checkpoint_folder
 
 
+#: Rows that an operator sees at a time, so that what it makes of them stays small.
+BATCH_ROWS = 1000
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]]) -> DataFrame:
     """``mapInArrow`` with a set-up per task: ``make()`` gives the function that turns a batch into batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            yield from work(batch)
+            for first in range(0, batch.num_rows, BATCH_ROWS):
+                yield from work(batch.slice(first, BATCH_ROWS))
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
     return df.mapInArrow(run, schema)
 

@@ -56,7 +56,7 @@ def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+    return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -53,8 +53,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = 7)
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, ranks).select(
+    rows = docs.select("doc_id", "lang", "source", "text")
+    return bpe.encode(rows, ranks, public_tokenizers.PATTERN, decoded="decoded").select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -50,6 +50,8 @@ def test_round_trip(spark, ranks):
     rows = [(i, t, "c") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string").drop("ids")
     got = {r.doc_id: r for r in bpe.digests(bpe.decode(bpe.encode(df, ranks, P.PATTERN), ranks)).collect()}
+    once = {r.doc_id: r for r in bpe.digests(bpe.encode(df, ranks, P.PATTERN, decoded="decoded")).collect()}
+    assert got == once
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for i, t, _ in rows:
         ids = own.encode_ordinary(t or "")
