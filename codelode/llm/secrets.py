@@ -18,8 +18,13 @@ carries, for each of its characters, the range of its parent that made it (whole
 quartets for base64, the whole run for compressed data); ranges are taken back
 layer by layer.
 
-A compressed stream is unpacked up to ``max_layer`` bytes (a parameter; beyond
-it the stream is cut there, which bounds memory against archive bombs).
+A compressed stream is read to its end, over all members and frames, and scanned in
+overlapping pieces together with all that it decodes to; its matches carry the range
+of the stream, so only their kinds are kept. Neither pieces nor layers of a stream
+are gathered: each is made anew from its source, and memory stays bounded against
+archive bombs, whose time is not. ``max_layer`` (a parameter) is how many bytes of
+a base64 run inside a stream are held; longer ones are read as streams. Zstandard
+frames that ask for a window above 128 MiB are not read, as by its own program.
 
 Edge cases: a null text is an empty one; equal spans found in several layers
 count once; repeated rows, empty tables and other columns are no matter.
@@ -29,10 +34,11 @@ from __future__ import annotations
 
 import base64
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +63,20 @@ UNPACK = (
     *((bytes([0x78, x]), lambda: zlib.decompressobj(15)) for x in (0x01, 0x5E, 0x9C, 0xDA)),
 )
 
+ZSTD = re.compile(rb"\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18", re.DOTALL)
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18|\x78[\x01\x5e\x9c\xda]", re.DOTALL)
+#: The patterns over bytes, for streams. An escape at the border of a piece is decoded whole: LONGEST bytes hold any.
+ASSIGN_BYTES, ACCESS_BYTES, HEX_BYTES, ESCAPE_BYTES, BASE64_BYTES = (
+    re.compile(p.pattern.encode(), p.flags & re.IGNORECASE) for p in (ASSIGN, ACCESS, HEX, ESCAPE, BASE64)
+)
+PERCENT_BYTES, SPACES, BREAK_BYTES = re.compile(rb"%[0-9A-Fa-f]{2}"), re.compile(rb"\x20+"), re.compile(rb"(?!)")
+WORDS = (b"passw", b"secret", b"token", b"api")  # each match of ASSIGN has one, in small letters
+CONTINUED = re.compile(rb"[A-Za-z0-9+/_-]*+")
+STANDARD = bytes.maketrans(b"-_", b"+/")
+#: Bytes of a compressed stream read at a time, of what it gives, of the longest escape, and kept around the end of a base64 run.
+STEP, PIECE, LONGEST, EDGE = 64 << 10, 256 << 10, 16, 1024
+
+Source = Callable[[], Iterator[bytes]]
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
 
@@ -93,6 +113,9 @@ class Layer:
         return False
 
 
+Add = Callable[[Layer, int, int, set[int]], None]
+
+
 def _spliced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every match of ``pattern`` decoded; None if nothing changes."""
     parts, at, to, upto = [], [], [], 0
@@ -153,70 +176,345 @@ def _readable(text: str) -> bool:
     return not re.search("[\x00-\x08\x0e-\x1f\x7f]", text)
 
 
-def _unpacked(data: bytes, most: int) -> bytes | None:
-    try:
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().stream_reader(data).read(most)
-        for magic, make in UNPACK:
-            if data.startswith(magic):
-                return make().decompress(data, most)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, zstandard.ZstdError):
-        pass
-    return None
-
-
-def _base64(layer: Layer, most: int) -> Iterator[Layer]:
+class _Feed:
+    """Pieces of bytes read like a file; what a member leaves is put back."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.held, self.given = iter(pieces), b"", 0
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and (more := next(self.pieces, b"")):
+            self.held += more
+        return self.held[:n]
+
+    def read(self, n: int) -> bytes:
+        if not self.held:
+            self.held = next(self.pieces, b"")
+        data, self.held = self.held[:n], self.held[n:]
+        self.given += len(data)
+        return data
+
+    def exactly(self, n: int) -> bytes:
+        data = b""
+        while len(data) < n:
+            more = self.read(n - len(data))
+            if not more:
+                raise EOFError
+            data += more
+        return data
+
+    def back(self, data: bytes) -> None:
+        self.held = data + self.held
+        self.given -= len(data)
+
+
+def _zstd_frame(feed: _Feed) -> Iterator[bytes]:
+    """One frame, block by block: a block gives at most 128 KiB."""
+    magic = feed.exactly(4)
+    if magic[0] != 0x28:  # skippable
+        left = int.from_bytes(feed.exactly(4), "little")
+        while left:
+            data = feed.read(min(left, STEP))
+            if not data:
+                return
+            left -= len(data)
+        return
+    tool = zstandard.ZstdDecompressor().decompressobj()
+    kind = feed.exactly(1)
+    single, fields = kind[0] >> 5 & 1, kind[0] >> 6
+    more = (not single) + (0, 1, 2, 4)[kind[0] & 3] + (single, 2, 4, 8)[fields]
+    yield tool.decompress(magic + kind + feed.exactly(more))
+    last = 0
+    while not last:
+        head = feed.exactly(3)
+        block = int.from_bytes(head, "little")
+        last = block & 1
+        yield tool.decompress(head + feed.exactly(1 if block >> 1 & 3 == 1 else block >> 3))
+    if kind[0] >> 2 & 1:
+        yield tool.decompress(feed.exactly(4))
+
+
+def _member(feed: _Feed, make) -> Iterator[bytes]:
+    tool = make()
+    data = feed.read(STEP)
+    while True:
+        out = tool.decompress(data, PIECE)
+        yield out
+        if tool.eof:
+            feed.back(tool.unused_data)
+            return
+        data = getattr(tool, "unconsumed_tail", b"")
+        if not data and len(out) < PIECE and getattr(tool, "needs_input", True):
+            data = feed.read(STEP)
+            if not data:
+                return
+
+
+class Unpacked:
+    """All members and frames of a compressed stream, in pieces; each call reads it anew.
+
+    Zeros may stand between members. After a member that is cut or broken the stream
+    ends with what it gave. ``consumed``: bytes read by the last call; ``broken``: it met an error.
+    """
+
+    def __init__(self, source: Source):
+        self.source, self.consumed, self.broken = source, 0, False
+
+    def __call__(self) -> Iterator[bytes]:
+        feed = _Feed(self.source())
+        self.consumed, self.broken = 0, False
+        try:
+            while True:
+                head = feed.peek(6)
+                if head[:1] == b"\0" and self.consumed:
+                    while feed.peek(1) == b"\0":
+                        data = feed.read(STEP)
+                        feed.back(data.lstrip(b"\0"))
+                    continue
+                if ZSTD.match(head):
+                    made = _zstd_frame(feed)
+                else:
+                    make = next((make for magic, make in UNPACK if head.startswith(magic)), None)
+                    if make is None:
+                        return
+                    made = _member(feed, make)
+                yield from filter(None, made)
+                self.consumed = feed.given
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, zstandard.ZstdError) as error:
+            self.broken = not isinstance(error, EOFError)
+            self.consumed = feed.given
+
+
+def _memory(data: bytes, start: int = 0) -> Source:
+    return lambda: (data[i:i + PIECE] for i in range(start, len(data), PIECE))
+
+
+def _skipped(source: Source, start: int) -> Source:
+    def pieces():
+        left = start
+        for piece in source():
+            if left < len(piece):
+                yield piece[left:] if left else piece
+            left = max(0, left - len(piece))
+
+    return pieces
+
+
+def _replaced(source: Source, pattern: re.Pattern, first: bytes, decode) -> Source:
+    """The bytes with every match of ``pattern``, none longer than LONGEST, decoded; ``first`` has the bytes that matches begin with."""
+
+    def pieces():
+        held = b""
+        for piece in source():
+            held += piece
+            cut = max(held.rfind(first[i:i + 1], max(0, len(held) - LONGEST)) for i in range(len(first)))
+            found = cut >= 0 and pattern.match(held, cut)
+            cut = len(held) if cut < 0 or found else cut
+            if out := pattern.sub(decode, held[:cut]):
+                yield out
+            held = held[cut:]
+        if held:
+            yield pattern.sub(decode, held)
+
+    return pieces
+
+
+def _run_end(held: bytes) -> tuple[int, bool]:
+    """How much of ``held`` surely belongs to a base64 run that goes on at its start, and whether more may come."""
+    end = CONTINUED.match(held).end()
+    if end <= len(held) - EDGE:
+        return end, False
+    cut = max(0, min(end, len(held) - EDGE))
+    for m in BREAK_BYTES.finditer(held, max(0, cut - EDGE)):
+        if m.start() >= cut:
+            break
+        if m.end() > cut:
+            cut = m.start()
+            break
+    return cut, True
+
+
+def _run(source: Source, start: int, off: int) -> Source:
+    """The bytes of a long base64 run, read from its character ``off`` on."""
+
+    def pieces():
+        held, chars, skip, more = b"", b"", off, True
+        for piece in _skipped(source, start)():
+            held += piece
+            end, more = _run_end(held)
+            chars += BREAK_BYTES.sub(b"", held[:end])
+            held = held[end:]
+            if len(chars) > skip:
+                whole = skip + (len(chars) - skip) // 4 * 4
+                if data := _decoded(chars[skip:whole]):
+                    yield data
+                chars, skip = chars[whole:], 0
+            if not more:
+                break
+        if more:
+            chars += BREAK_BYTES.sub(b"", held[:CONTINUED.match(held).end()])
+        if data := _decoded(chars[skip:]):
+            yield data
+
+    return pieces
+
+
+def _decoded(chars):
+    """The bytes of base64 characters of either alphabet, without breaks and padding."""
+    if isinstance(chars, str):
+        chars = chars.encode()
+    chars = chars[:len(chars) - (len(chars) % 4 == 1)].translate(STANDARD)
+    return base64.b64decode(chars + b"=" * (-len(chars) % 4))
+
+
+def _escape_bytes(m: re.Match) -> bytes:
+    """Codes under 256 are bytes."""
+    new = _escape(m[0].decode("latin-1"))
+    if new is None:
+        return m[0]
+    return new[0].encode("latin-1") if new[0] < "\u0100" else new[0].encode("utf-8", "replace")
+
+
+def kinds(source: Source, most: int, above: tuple[bytes, ...] = ()) -> set[int]:
+    """Places of the kinds found in a stream of bytes and in all that it decodes to.
+
+    All patterns are ASCII, so bytes are matched as they are. What decodes is itself a
+    stream, made anew from the source; only pieces, and base64 runs of up to ``most``
+    bytes, are held. ``above``: digests of the streams that this one was unpacked from.
+    """
+    found: set[int] = set()
+    digest = hashlib.blake2b()
+    near = tail = held = b""  # for the kinds, for escapes and magics, for base64 runs
+    upto = at = 0  # bytes read; the place up to which streams were unpacked
+    percent = escape = inside = False
+    later: list[Source] = []
+
+    def decoded(run: bytes) -> None:
+        chars = BREAK_BYTES.sub(b"", run.rstrip(b"="))
+        if len(chars) >= 16:
+            for off in range(4):
+                found.update(kinds(_memory(_decoded(chars[off:])), most, above))
+
+    for piece in source():
+        upto += len(piece)
+        digest.update(piece)
+        near = SPACES.sub(b" ", near + piece)
+        done = 0
+        low = near.lower()
+        for m in ASSIGN_BYTES.finditer(near) if any(word in low for word in WORDS) else ():
+            if len(m[2]) >= 8:
+                found.add(0)
+            if m.end() < len(near):
+                done = m.end()
+        if b"AKIA" in near and any(len(m[0]) >= 16 for m in ACCESS_BYTES.finditer(near)):
+            found.add(1)
+        if HEX_BYTES.search(near):
+            found.add(2)
+        near = near[max(done, len(near) - 64):]
+
+        tail += piece
+        percent = percent or b"%" in tail and PERCENT_BYTES.search(tail) is not None
+        escape = escape or (b"\\" in tail or b"&#" in tail) and ESCAPE_BYTES.search(tail) is not None
+        for m in MAGIC.finditer(tail):
+            start = upto - len(tail) + m.start()
+            if start < at:
+                continue
+            at = start + 1
+            stream = Unpacked(_memory(tail, m.start()))
+            found |= kinds(stream, most, above)
+            if not stream.broken:
+                at += max(0, stream.consumed - 1)
+                if at == upto:  # it may go on behind this piece
+                    stream = Unpacked(_skipped(source, start))
+                    later.append(stream)
+                    at = start + sum(0 for _ in stream()) + max(1, stream.consumed)
+        tail = tail[-LONGEST:]
+
+        held += piece
+        if inside:
+            end, inside = _run_end(held)
+            held = held[end:]
+            if inside:
+                continue
+        cut, done = max(0, len(held) - EDGE), 0
+        for m in BASE64_BYTES.finditer(held):
+            if m.end() > len(held) - EDGE:
+                cut = m.start()
+                if len(held) - cut > most + EDGE:
+                    start, inside = upto - len(held) + cut, True
+                    later += (_run(source, start, off) for off in range(4))
+                    cut += _run_end(held[cut:])[0]
+                break
+            decoded(m[0])
+            done = m.end()
+        held = held[max(cut, done):]
+    if inside:
+        held = held[CONTINUED.match(held).end():]
+    for m in BASE64_BYTES.finditer(held):
+        decoded(m[0])
+
+    if digest.digest() in above:
+        return found
+    above += (digest.digest(),)
+    if percent:
+        later.append(_replaced(source, PERCENT_BYTES, b"%", lambda m: bytes([int(m[0][1:], 16)])))
+    if escape:
+        later.append(_replaced(source, ESCAPE_BYTES, b"\\&", _escape_bytes))
+    for child in later:
+        found |= kinds(child, most, above)
+    return found
+
+
+def _base64(layer: Layer, most: int, add: Add) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        size = len(run) - (len(run) % 4 == 1)
-        plain = run[:size].replace("-", "+").replace("_", "/")
-        data = base64.b64decode(plain + "=" * (-size % 4))
+        data = _decoded(m[0].rstrip("="))
         whole = False
-        while (inner := _unpacked(data, most)) is not None:
-            same, data, whole = inner == data, inner, True
-            if same:
-                break
+        if MAGIC.match(data):
+            stream = Unpacked(_memory(data))
+            add(layer, m.start(), m.end(), kinds(stream, most))
+            whole = stream.consumed == len(data) and not stream.broken
+        if whole:
+            continue
         try:
             text = data.decode()
         except UnicodeDecodeError:
-            if not whole:
-                continue
-            text = data.decode("latin-1")
-        if not text or not (whole or _readable(text)):
             continue
-        if whole:
-            n = len(text)
-            at, to = np.full(n, m.start()), np.full(n, m.end())
-        else:
-            _, first, after = _utf8(data, 1)
-            at = first // 3 * 4 + m.start()
-            to = np.minimum((after - 1) // 3 * 4 + 4 + m.start(), m.end())
+        if not text or not _readable(text):
+            continue
+        _, first, after = _utf8(data, 1)
+        at = first // 3 * 4 + m.start()
+        to = np.minimum((after - 1) // 3 * 4 + 4 + m.start(), m.end())
         yield Layer(text, layer, at, to)
 
 
-def layers(layer: Layer, most: int) -> Iterator[Layer]:
-    """What one layer decodes to."""
+def layers(layer: Layer, most: int, add: Add) -> Iterator[Layer]:
+    """What one layer decodes to; what its compressed streams hold goes to ``add``."""
     text = layer.text
     if "%" in text and (new := _spliced(layer, PERCENT, _percent)):
         yield new
     if ("\\" in text or "&#" in text) and (new := _spliced(layer, ESCAPE, _escape)):
         yield new
-    yield from _base64(layer, most)
+    yield from _base64(layer, most, add)
 
 
 def scan(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[Span], list[Span]]:
     """Spans of the text itself, and those of all layers."""
     top = Layer(text or "")
     base = sorted(matches(top.text))
-    every, work = set(base), [*layers(top, max_layer)]
+    every = set(base)
+
+    def add(layer: Layer, start: int, end: int, found: set[int]) -> None:
+        a, b = layer.origin(start, end)
+        every.update((a, kind, b) for kind in found)
+
+    work = [*layers(top, max_layer, add)]
     while work:
         layer = work.pop()
         if layer.repeats():
             continue
         for start, kind, end in matches(layer.text):
-            a, b = layer.origin(start, end)
-            every.add((a, kind, b))
-        work += layers(layer, max_layer)
+            add(layer, start, end, {kind})
+        work += layers(layer, max_layer, add)
     return base, sorted(every)
 
 

@@ -2,8 +2,10 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -99,3 +101,43 @@ def test_rows(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 1, "assign:0:14"), (1, 1, "assign:0:14"), (2, 0, ""), (3, 0, "access:120000:120020")]
     assert secrets.scan_secrets(df.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_all_members(pack):
+    for data in (pack(b"nothing ") + pack(SECRET.encode()), pack(b"") + b"\0" * 512 + pack(b"nothing ") + pack(b"x" * 300_000 + SECRET.encode())):
+        coded = base64.b64encode(data).decode()
+        assert scan(f"see {coded} there")[1] == [(4, 0, 4 + len(coded))]
+    # a match over the border of two members is whole in what they unpack to
+    assert scan(base64.b64encode(pack(SECRET.encode()[:14]) + pack(SECRET.encode()[14:])).decode())[1]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_whole_stream(pack):
+    key = b"0123456789abcdef" * 2
+    for edge in range(-30, 8, 5):
+        data = bytes(secrets.PIECE + edge) + SECRET.encode() + bytes(secrets.PIECE) + b"AKIA" + b"B" * 12 + b" " + key
+        assert [k for _, k, _ in scan(base64.b64encode(pack(data)).decode(), max_layer=10_000)[1]] == [0, 1, 2]
+
+
+def test_beyond_the_old_cut():
+    assert scan(base64.b64encode(gzip.compress(b"z" * (17 << 20) + SECRET.encode())).decode())[1]
+
+
+def test_layers_of_long_streams(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 3000)
+    rng = random.Random(3)
+    filling = bytes(rng.choice(b"abcdefgh ") for _ in range(20_000))
+    plain = filling + SECRET.encode() + filling
+    for inner in (base64.b64encode(plain), base64.b64encode(gzip.compress(plain)), ENCODINGS["url"](plain).encode(), ENCODINGS["unicode"](plain).encode(), bytes(300_000) + gzip.compress(plain)):
+        for before in (b"", b"x ", b"x" * 255):
+            assert scan(base64.b64encode(gzip.compress(before + inner)).decode(), max_layer=5_000)[1]
+
+
+def test_stream_memory_is_bounded():
+    bomb = base64.b64encode(zlib.compress(zlib.compress(bytes(20 << 20), 9), 9)).decode()
+    tracemalloc.start()
+    scan(bomb, max_layer=10_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10 << 20
