@@ -13,6 +13,11 @@ gzip, zlib, bzip2, xz or zstd stream. Each new layer is scanned and put on the
 worklist, until nothing decodes any more. A layer whose content equals one of its
 ancestors is not entered again, so streams that unpack to themselves end.
 
+A base64 run goes on over single line breaks, also escaped ones, with up to 64 blanks
+around each. If the run does not decode to a stream or to text as a whole, it is also read
+from its second, third and fourth character, so that what stands before the code,
+up to a ``/``, ``_``, ``-`` or any other character of the alphabet, does not matter.
+
 Spans are code points of the original text, end exclusive. A decoded layer
 carries, for each of its characters, the range of its parent that made it (whole
 quartets for base64, the whole run for compressed data); ranges are taken back
@@ -56,7 +61,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+RUN = "[A-Za-z0-9+/_-]"
+#: A single line break, also an escaped one, with what indents the lines around it.
+BREAK = r"[\x20\t]{0,64}(?:\r\n?|\n|(?:\\{1,8}r)?\\{1,8}n)[\x20\t]{0,64}"
+BASE64 = re.compile(rf"(?<!{RUN})(?:{RUN}{{16,}}+|{RUN}++(?={BREAK}{RUN}))(?:{BREAK}{RUN}++)*+={{0,2}}")
+BREAKS = re.compile(BREAK)
 MAX_LAYER = 16 << 20
 UNPACK = (
     (b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\0", lzma.LZMADecompressor),
@@ -69,9 +78,9 @@ MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd|[\x50-\x
 ASSIGN_BYTES, ACCESS_BYTES, HEX_BYTES, ESCAPE_BYTES, BASE64_BYTES = (
     re.compile(p.pattern.encode(), p.flags & re.IGNORECASE) for p in (ASSIGN, ACCESS, HEX, ESCAPE, BASE64)
 )
-PERCENT_BYTES, SPACES, BREAK_BYTES = re.compile(rb"%[0-9A-Fa-f]{2}"), re.compile(rb"\x20+"), re.compile(rb"(?!)")
+PERCENT_BYTES, SPACES, BREAK_BYTES = re.compile(rb"%[0-9A-Fa-f]{2}"), re.compile(rb"\x20+"), re.compile(BREAK.encode())
 WORDS = (b"passw", b"secret", b"token", b"api")  # each match of ASSIGN has one, in small letters
-CONTINUED = re.compile(rb"[A-Za-z0-9+/_-]*+")
+CONTINUED = re.compile(rf"(?:{RUN}++|{BREAK}(?={RUN}))*+".encode())
 STANDARD = bytes.maketrans(b"-_", b"+/")
 #: Bytes of a compressed stream read at a time, of what it gives, of the longest escape, and kept around the end of a base64 run.
 STEP, PIECE, LONGEST, EDGE = 64 << 10, 256 << 10, 16, 1024
@@ -216,7 +225,7 @@ def _zstd_frame(feed: _Feed) -> Iterator[bytes]:
         while left:
             data = feed.read(min(left, STEP))
             if not data:
-                return
+                raise EOFError
             left -= len(data)
         return
     tool = zstandard.ZstdDecompressor().decompressobj()
@@ -247,22 +256,23 @@ def _member(feed: _Feed, make) -> Iterator[bytes]:
         if not data and len(out) < PIECE and getattr(tool, "needs_input", True):
             data = feed.read(STEP)
             if not data:
-                return
+                raise EOFError
 
 
 class Unpacked:
     """All members and frames of a compressed stream, in pieces; each call reads it anew.
 
     Zeros may stand between members. After a member that is cut or broken the stream
-    ends with what it gave. ``consumed``: bytes read by the last call; ``broken``: it met an error.
+    ends with what it gave. ``consumed``: bytes read by the last call;
+    ``ended``: its last member is whole; ``broken``: it met an error.
     """
 
     def __init__(self, source: Source):
-        self.source, self.consumed, self.broken = source, 0, False
+        self.source, self.consumed, self.ended, self.broken = source, 0, False, False
 
     def __call__(self) -> Iterator[bytes]:
         feed = _Feed(self.source())
-        self.consumed, self.broken = 0, False
+        self.consumed, self.ended, self.broken = 0, False, False
         try:
             while True:
                 head = feed.peek(6)
@@ -278,8 +288,9 @@ class Unpacked:
                     if make is None:
                         return
                     made = _member(feed, make)
+                self.ended = False
                 yield from filter(None, made)
-                self.consumed = feed.given
+                self.consumed, self.ended = feed.given, True
         except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, zstandard.ZstdError) as error:
             self.broken = not isinstance(error, EOFError)
             self.consumed = feed.given
@@ -380,10 +391,15 @@ def kinds(source: Source, most: int, above: tuple[bytes, ...] = ()) -> set[int]:
 
     All patterns are ASCII, so bytes are matched as they are. What decodes is itself a
     stream, made anew from the source; only pieces, and base64 runs of up to ``most``
-    bytes, are held. ``above``: digests of the streams that this one was unpacked from.
+    bytes, are held. ``above``: digests of the streams that this one comes from.
     """
     found: set[int] = set()
     digest = hashlib.blake2b()
+    for piece in source():
+        digest.update(piece)
+    if digest.digest() in above:  # it unpacks to itself
+        return found
+    above += (digest.digest(),)
     near = tail = held = b""  # for the kinds, for escapes and magics, for base64 runs
     upto = at = 0  # bytes read; the place up to which streams were unpacked
     percent = escape = inside = False
@@ -397,7 +413,6 @@ def kinds(source: Source, most: int, above: tuple[bytes, ...] = ()) -> set[int]:
 
     for piece in source():
         upto += len(piece)
-        digest.update(piece)
         near = SPACES.sub(b" ", near + piece)
         done = 0
         low = near.lower()
@@ -422,12 +437,13 @@ def kinds(source: Source, most: int, above: tuple[bytes, ...] = ()) -> set[int]:
             at = start + 1
             stream = Unpacked(_memory(tail, m.start()))
             found |= kinds(stream, most, above)
-            if not stream.broken:
-                at += max(0, stream.consumed - 1)
-                if at == upto:  # it may go on behind this piece
-                    stream = Unpacked(_skipped(source, start))
-                    later.append(stream)
-                    at = start + sum(0 for _ in stream()) + max(1, stream.consumed)
+            if not stream.broken and start + stream.consumed == upto:  # it may go on behind this piece
+                stream = Unpacked(_skipped(source, start))
+                later.append(stream)
+                for _ in stream():
+                    pass
+            if stream.ended:
+                at = start + stream.consumed
         tail = tail[-LONGEST:]
 
         held += piece
@@ -453,9 +469,6 @@ def kinds(source: Source, most: int, above: tuple[bytes, ...] = ()) -> set[int]:
     for m in BASE64_BYTES.finditer(held):
         decoded(m[0])
 
-    if digest.digest() in above:
-        return found
-    above += (digest.digest(),)
     if percent:
         later.append(_replaced(source, PERCENT_BYTES, b"%", lambda m: bytes([int(m[0][1:], 16)])))
     if escape:
@@ -465,26 +478,60 @@ def kinds(source: Source, most: int, above: tuple[bytes, ...] = ()) -> set[int]:
     return found
 
 
+def _joined(m: re.Match) -> tuple[str, np.ndarray]:
+    """The characters of a base64 run without its line breaks, and their places; padding has places only."""
+    parts, places, upto = [], [], 0
+    for gap in BREAKS.finditer(m[0]):
+        parts.append(m[0][upto:gap.start()])
+        places.append(np.arange(upto, gap.start()))
+        upto = gap.end()
+    parts.append(m[0][upto:].rstrip("="))
+    places.append(np.arange(upto, len(m[0])))
+    return "".join(parts), np.concatenate(places) + m.start()
+
+
 def _base64(layer: Layer, most: int, add: Add) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
-        data = _decoded(m[0].rstrip("="))
-        whole = False
-        if MAGIC.match(data):
-            stream = Unpacked(_memory(data))
-            add(layer, m.start(), m.end(), kinds(stream, most))
-            whole = stream.consumed == len(data) and not stream.broken
-        if whole:
+        chars, places = _joined(m)
+        if len(chars) < 16:
             continue
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            continue
-        if not text or not _readable(text):
+        for off in range(4):
+            data = _decoded(chars[off:])
+            first, after = _quartets(places, off, np.arange(len(data)))
+            covered = _streams(layer, data, first, after, most, add)
+            for a, b in covered:  # stored parts show through, and have been seen
+                data = data[:a] + bytes(b - a) + data[b:]
+            text, start, end = _utf8(data, 1)
+            if covered != [(0, len(data))] and text:
+                yield Layer(text, layer, first[start], after[end - 1])
+                if not _readable(text) or len(start) == len(data) and not data.isascii():
+                    continue
+            if not off:
+                break  # all of the run is explained
+
+
+def _quartets(places: np.ndarray, off: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The range in the text of the quartet that each decoded byte comes from."""
+    first = off + at // 3 * 4
+    return places[first], places[np.minimum(first + 3, len(places) - 1)] + 1
+
+
+def _streams(layer: Layer, data: bytes, first: np.ndarray, after: np.ndarray, most: int, add: Add) -> list[tuple[int, int]]:
+    """Adds what the compressed streams in ``data`` hold, and gives the ranges of the whole ones. ``first`` and ``after``: each byte's range in the layer."""
+    covered, upto = [], 0
+    for m in MAGIC.finditer(data):
+        start = m.start()
+        if start < upto:
             continue
-        _, first, after = _utf8(data, 1)
-        at = first // 3 * 4 + m.start()
-        to = np.minimum((after - 1) // 3 * 4 + 4 + m.start(), m.end())
-        yield Layer(text, layer, at, to)
+        stream = Unpacked(_memory(data, start))
+        found = kinds(stream, most)
+        end = min(start + max(1, stream.consumed), len(data))
+        if found:
+            add(layer, int(first[start]), int(after[end - 1]), found)
+        if stream.ended:
+            covered.append((start, end))
+            upto = end
+    return covered
 
 
 def layers(layer: Layer, most: int, add: Add) -> Iterator[Layer]:

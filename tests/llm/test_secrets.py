@@ -141,3 +141,39 @@ def test_stream_memory_is_bounded():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 10 << 20
+
+
+LINE = b'some words before it, then password = "hunter2hunter2" and some words after'
+
+
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\n    "])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, bz2.compress, zstandard.compress])
+@pytest.mark.parametrize("columns", [20, 38, 76])
+def test_wrapped_base64(gap, pack, columns):
+    coded = base64.b64encode(pack(LINE)).decode()
+    lines = gap.join(coded[i:i + columns] for i in range(0, len(coded), columns))
+    found = scan(f"é see: {lines} there")[1]
+    assert found and all(k == 0 and 7 <= a < b <= 7 + len(lines) for a, k, b in found)
+    if pack is bytes:  # the quartets of the secret, with the breaks between them
+        i = LINE.index(b"password")
+        place = lambda n: 7 + n + n // columns * len(gap)
+        assert found == [(place(i // 3 * 4), 0, place((i + len(SECRET) - 2) // 3 * 4 + 3) + 1)]
+    inside = gzip.compress(b"x " * 300 + lines.encode() + b" there")
+    assert scan(base64.b64encode(inside).decode())[1]
+
+
+@pytest.mark.parametrize("before", ["https://h.example/a/", "user_", "x-", "+", "ab", "abc/", "/"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, zstandard.compress])
+def test_base64_behind_its_own_characters(before, pack):
+    for data in (LINE, SECRET.encode()):
+        coded = base64.b64encode(pack(data)).decode()
+        found = [s for s in scan(f"go {before}{coded} on")[1] if s[1] == 0]
+        assert found and all(3 <= a < b <= 3 + len(before) + len(coded) for a, _, b in found)
+        if pack is not bytes:
+            assert found == [(3 + len(before), 0, 3 + len(before) + len(coded))] or before in ("+", "/")
+
+
+def test_stream_that_unpacks_to_itself(monkeypatch):
+    magic = b"\x1f\x8b\x08"
+    monkeypatch.setattr(secrets, "_member", lambda feed, make: iter([feed.read(1000)]))
+    assert scan(base64.b64encode(magic + SECRET.encode()).decode())[1]
