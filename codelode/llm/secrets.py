@@ -8,8 +8,9 @@ Kinds, each matched leftmost and without overlap in every layer:
 
 The text itself is the first layer. A layer yields further ones: the whole layer
 with percent escapes decoded, the whole layer with ``\\uXXXX``, ``\\xXX`` and
-``&#N;`` escapes decoded, and every base64 run that decodes to text or to a
-gzip, zlib, bzip2, xz or zstd stream. Each new layer is scanned and put on the
+``&#N;`` escapes decoded, every base64 run (as latin-1 where it is not UTF-8),
+and every gzip, zlib, bzip2, xz or zstd stream in the bytes that these give,
+codes under 256 being bytes. Each new layer is scanned and put on the
 worklist, until nothing decodes any more. A layer whose content equals one of its
 ancestors is not entered again, so streams that unpack to themselves end.
 
@@ -20,8 +21,8 @@ up to a ``/``, ``_``, ``-`` or any other character of the alphabet, does not mat
 
 Spans are code points of the original text, end exclusive. A decoded layer
 carries, for each of its characters, the range of its parent that made it (whole
-quartets for base64, the whole run for compressed data); ranges are taken back
-layer by layer.
+quartets for base64); ranges are taken back
+layer by layer. A stream's range is that of the bytes it was read from.
 
 A compressed stream is read to its end, over all members and frames, and scanned in
 overlapping pieces together with all that it decodes to; its matches carry the range
@@ -39,6 +40,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
@@ -81,6 +83,7 @@ ASSIGN_BYTES, ACCESS_BYTES, HEX_BYTES, ESCAPE_BYTES, BASE64_BYTES = (
 PERCENT_BYTES, SPACES, BREAK_BYTES = re.compile(rb"%[0-9A-Fa-f]{2}"), re.compile(rb"\x20+"), re.compile(BREAK.encode())
 WORDS = (b"passw", b"secret", b"token", b"api")  # each match of ASSIGN has one, in small letters
 CONTINUED = re.compile(rf"(?:{RUN}++|{BREAK}(?={RUN}))*+".encode())
+WIDE = re.compile("[^\0-\xff\udc80-\udcff]")
 STANDARD = bytes.maketrans(b"-_", b"+/")
 #: Bytes of a compressed stream read at a time, of what it gives, of the longest escape, and kept around the end of a base64 run.
 STEP, PIECE, LONGEST, EDGE = 64 << 10, 256 << 10, 16, 1024
@@ -181,6 +184,16 @@ def _escape(found: str):
     return chr(code), np.array([0]), np.array([len(found)])
 
 
+def _raw(found: str, decode):
+    """As ``decode``, but with a character for each byte that percent and ``\\x`` escapes write."""
+    if found[0] != "%" and not found.startswith("\\x"):
+        return decode(found)
+    data = bytes.fromhex(found.replace("%", "").replace("\\x", ""))
+    width = 3 if found[0] == "%" else 4
+    at = np.arange(len(data)) * width
+    return data.decode("latin-1"), at, at + width
+
+
 def _readable(text: str) -> bool:
     return not re.search("[\x00-\x08\x0e-\x1f\x7f]", text)
 
@@ -378,6 +391,20 @@ def _decoded(chars):
     return base64.b64decode(chars + b"=" * (-len(chars) % 4))
 
 
+def _narrowed(source: Source) -> Source:
+    """UTF-8 with a byte for each character under 256; what is not UTF-8 stays."""
+
+    def pieces():
+        decoder = codecs.getincrementaldecoder("utf-8")("surrogateescape")
+        for piece in source():
+            if text := decoder.decode(piece):
+                yield WIDE.sub("?", text).encode("latin-1", "surrogateescape")
+        if text := decoder.decode(b"", True):
+            yield WIDE.sub("?", text).encode("latin-1", "surrogateescape")
+
+    return pieces
+
+
 def _escape_bytes(m: re.Match) -> bytes:
     """Codes under 256 are bytes."""
     new = _escape(m[0].decode("latin-1"))
@@ -470,7 +497,8 @@ def kinds(source: Source, most: int, above: tuple[bytes, ...] = ()) -> set[int]:
         decoded(m[0])
 
     if percent:
-        later.append(_replaced(source, PERCENT_BYTES, b"%", lambda m: bytes([int(m[0][1:], 16)])))
+        raw = _replaced(source, PERCENT_BYTES, b"%", lambda m: bytes([int(m[0][1:], 16)]))
+        later += (raw, _narrowed(raw))
     if escape:
         later.append(_replaced(source, ESCAPE_BYTES, b"\\&", _escape_bytes))
     for child in later:
@@ -537,10 +565,12 @@ def _streams(layer: Layer, data: bytes, first: np.ndarray, after: np.ndarray, mo
 def layers(layer: Layer, most: int, add: Add) -> Iterator[Layer]:
     """What one layer decodes to; what its compressed streams hold goes to ``add``."""
     text = layer.text
-    if "%" in text and (new := _spliced(layer, PERCENT, _percent)):
-        yield new
-    if ("\\" in text or "&#" in text) and (new := _spliced(layer, ESCAPE, _escape)):
-        yield new
+    for marks, pattern, decode in ((("%",), PERCENT, _percent), (("\\", "&#"), ESCAPE, _escape)):
+        if any(mark in text for mark in marks) and (new := _spliced(layer, pattern, decode)):
+            yield new
+            raw = _spliced(layer, pattern, lambda found: _raw(found, decode))
+            for one in (raw, new) if new.text != raw.text else (raw,):  # bytes, or characters with their codes
+                _streams(layer, one.text.encode("latin-1", "replace"), one.at, one.to, most, add)
     yield from _base64(layer, most, add)
 
 

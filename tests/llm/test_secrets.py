@@ -177,3 +177,22 @@ def test_stream_that_unpacks_to_itself(monkeypatch):
     magic = b"\x1f\x8b\x08"
     monkeypatch.setattr(secrets, "_member", lambda feed, make: iter([feed.read(1000)]))
     assert scan(base64.b64encode(magic + SECRET.encode()).decode())[1]
+
+
+@pytest.mark.parametrize("outer", ["url", "mixed", "quoted", "unicode", "hex", "entity"])
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_streams_in_escapes(outer, pack):
+    data = pack(b"nothing ") + pack(b"x" * 500 + SECRET.encode())
+    coded = urllib.parse.quote(data) if outer == "mixed" else ENCODINGS[outer](data)
+    found = scan(f"é𝄞 see {coded} there")[1]
+    assert found and all(k == 0 and 7 <= a < b <= 7 + len(coded) for a, k, b in found)
+    for again in (ENCODINGS["base64"], ENCODINGS["gzip"], ENCODINGS["url"]):
+        assert any(k == 0 for _, k, _ in scan("see " + again(b"a " + coded.encode() + b" z"))[1])
+
+
+def test_base64_of_any_bytes():
+    for data in (b"\0user\0" + SECRET.encode(), "é ".encode("latin-1") + SECRET.encode(), bytes(range(256)) + SECRET.encode() + bytes(range(256))):
+        coded = base64.b64encode(data).decode()
+        found = [(a, b) for a, k, b in scan(f"x {coded} y")[1] if k == 0]
+        i = data.index(b"password")
+        assert (2 + i // 3 * 4, 2 + (i + len(SECRET) - 2) // 3 * 4 + 4) in found
