@@ -25,7 +25,7 @@ import math
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.common import map_batches
@@ -60,16 +60,17 @@ def learn(
     wanted = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 11) / F.lit(float(1 << 53))
     rows = rows.withColumn("draw", draw).where(F.col("draw") < wanted[F.col("lang")])
-    most = sum(4 * (2 * dictionary_bytes + 4 * sample_chars) for _ in share)
+    # bounded for each language by itself, so that none competes with another; only ids that repeat reach the bound
+    earlier = Window.partitionBy("lang").orderBy("draw", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("lang", "text", "draw", "doc_id", F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias("before"))
+    rows = rows.where(F.col("before") < 4 * (2 * dictionary_bytes + 4 * sample_chars))
     texts: dict[str, list[bytes]] = {lang: [] for lang in share}
-    taken = 0
-    for row in rows.select("lang", "text", "draw", "doc_id").orderBy("draw", "doc_id", "text").limit(4000 * len(share)).toLocalIterator():
-        data = letters(row.text)
-        taken += len(data)
-        if sum(map(len, texts[row.lang])) < dictionary_bytes:
+    taken = dict.fromkeys(share, 0)
+    for row in rows.orderBy("draw", "doc_id", "text").toLocalIterator():
+        if taken[row.lang] < dictionary_bytes:
+            data = letters(row.text)
             texts[row.lang].append(data)
-        if taken > most:
-            break
+            taken[row.lang] += len(data)
     return {lang: b"".join(parts)[:dictionary_bytes] for lang, parts in texts.items() if parts}
 
 

@@ -31,3 +31,11 @@ def test_edges(spark):
     assert language.learn(df.limit(0)) == {}
     assert language.identify(asked, {}).where("lang_pred <> 'und'").count() == 0
     assert language.identify(asked.limit(0), learned).count() == 0
+
+
+def test_rare_label_beside_many_short_texts(spark):
+    many = spark.range(200_000).selectExpr("id doc_id", "'ab cd' text", "'en' lang")
+    rare = spark.range(200_000, 200_020).selectExpr("id doc_id", "concat('zw', chr(97 + id % 20)) text", "'xx' lang")
+    learned = language.learn(many.unionByName(rare))
+    assert set(learned["xx"].split()) == {b"zw" + bytes([97 + i]) for i in range(20)}
+    assert len(learned["en"]) == language.DICTIONARY_BYTES
