@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import bpe, chat, exact_dedup, language, mixing, ngram_join, secrets, substring_dedup, suffix_dedup, token_count, topk
+from codelode.llm import bpe, chat, exact_dedup, language, mixing, ngram_join, secrets, substring_dedup, suffix_dedup, token_count, topk, whitening
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -73,6 +73,11 @@ def op10_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(table(spark, sf, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"),
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
+    "op12_whitening": op12_whitening,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
