@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import bpe, chat, exact_dedup, language, mixing, ngram_join, secrets, substring_dedup, suffix_dedup, token_count, topk, whitening
+from codelode.llm import bpe, chat, exact_dedup, language, lexical, mixing, ngram_join, secrets, substring_dedup, suffix_dedup, token_count, topk, whitening
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op10_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(table(spark, sf, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
     white = whitening.whiten(table(spark, sf, "embeddings"))
     return white.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
@@ -96,6 +100,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
+    "op11_lexical_search": op11_lexical_search,
     "op12_whitening": op12_whitening,
     "op13_substring_dedup": op13_substring_dedup,
 }
@@ -154,5 +159,34 @@ with v as (
 select query_id, cast(rank as int) as rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
 ) where rank <= 5
+""",
+    "op11_lexical_search": """
+with d as (
+  select doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+  from documents
+), s as (
+  select count(*) filter (len(terms) > 0) as docs, cast(sum(len(terms)) as bigint) as total from d
+), p as (
+  select doc_id, n, term, count(*) as tf
+  from (select doc_id, len(terms) as n, unnest(terms) as term from d) group by doc_id, n, term
+), q as (
+  select item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+  from benchmark
+), w as (
+  select term, cast(floor(1000 * ln((2.0::double * docs + 2) / (2 * df + 1))) as bigint) as w
+  from (select term, count(*) as df from p group by term), s
+), r as (
+  select item_id, doc_id,
+         cast(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) as bigint) as score
+  from q join w using (term) join p using (term), s
+  group by item_id, doc_id
+)
+select item_id, cast(rank as int) as rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score > 0
+) where rank <= 20
 """,
 }
