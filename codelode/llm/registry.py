@@ -188,5 +188,28 @@ with d as (
 select item_id, cast(rank as int) as rank, doc_id, score from (
   select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score > 0
 ) where rank <= 20
+""",
+    "op13_substring_dedup": """
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
+), s as (
+  select doc_id, words, unnest(range(1, len(words) - 48)) as i from w
+), k as (
+  select doc_id, i, array_to_string(words[i:i + 49], ' ') as run from s
+), hit as (
+  select doc_id, i from (select doc_id, i, min(doc_id) over (partition by run) as low from k) where low < doc_id
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) as i from hit
+), kept as (
+  select p.doc_id, count(*) as n, string_agg(word, ' ' order by p.i) as kept
+  from (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from w) p
+  anti join gone on gone.doc_id = p.doc_id and gone.i = p.i
+  group by p.doc_id
+), r as (
+  select w.doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, coalesce(kept, '') as kept
+  from w left join kept on kept.doc_id = w.doc_id
+)
+select doc_id, n_words, n_removed, sha256(kept) as kept_sha256, length(kept) as n_kept_chars, n_removed > 0 as touched
+from r
 """,
 }
