@@ -230,17 +230,17 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
         names = [(r.item_id, r.mark) for r in rows]
         lists = [(np.array(r.terms, np.int64), np.array(r.weights, np.int64)) for r in rows]
         if rows:
-            found = found.unionByName(_block(spark, dealt, names, lists, kind, size.docs, size.total, k))
+            found = found.unionByName(_block(spark, dealt, shards, names, lists, kind, size.docs, size.total, k))
     order = Window.partitionBy("item_id", "mark").orderBy(F.desc("score"), F.col("doc_id").isNull(), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
-def _block(spark, dealt: DataFrame, names: list[tuple], lists: list[tuple], kind: str, docs: int, total: int, k: int) -> DataFrame:
+def _block(spark, dealt: DataFrame, shards: int, names: list[tuple], lists: list[tuple], kind: str, docs: int, total: int, k: int) -> DataFrame:
     """item_id, mark, doc_id, score of the k best documents of each shard for a block of items."""
 
     def run(shard: pa.Table) -> pa.Table:
         return _search_shard(shard, lists, docs, total, k)
 
-    found = dealt.groupBy("shard").applyInArrow(run, "item long, doc_id long, score long")
+    found = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "item long, doc_id long, score long")
     keys = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], f"item long, item_id {kind}, mark long")
     return found.join(F.broadcast(keys), "item").drop("item")  # at most BLOCK_TERMS rows
