@@ -9,6 +9,7 @@ them.
 
 from __future__ import annotations
 
+import string
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -255,3 +256,108 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file_id", "path", "text", F.sha2("text", 256).alias("hash"),
         classify.language(F.col("path"), F.col("text")).alias("language"), classify.role(F.col("path")).alias("role"),
     ))
+
+
+#: Code around each text line, by language: file head, method, file end. Each method holds the line, brackets and
+#: declarations in a comment and in a string over several lines, and has its parameters on lines of their own.
+TRAPS = {
+    "python": ("py", "import os\n\nclass {c}:\n", """    @wrap
+    def {m}(
+        self,
+        a="{{",
+    ):
+        \"\"\"{s} (
+class Fake:
+    def fake(self):
+        \"\"\"
+        return call(a)
+
+""", ""),
+    "java": ("java", "import java.util.List;\n\npublic class {c} {{\n", """    /* {s} {{
+    class Fake {{
+    */
+    public int {m}(
+        int a,
+        int b
+    ) {{
+        String s = "{s} {{";
+        // class Fake {{
+        return call(a);
+    }}
+
+""", "}}\n"),
+    "typescript": ("ts", 'import x from "lib";\n\nexport class {c} {{\n', """  /* {s} {{
+  class Fake {{
+  */
+  {m}(
+    a: string,
+    b = "}}"
+  ): void {{
+    const t = `class Fake {{
+      {s} }}}}`;
+    call(t);
+  }}
+
+""", "}}\n"),
+    "go": ("go", "package p\n\ntype {c} struct {{\n}}\n", """/* {s} {{
+func Fake() {{
+*/
+func (s *{c}) {m}(
+	a int,
+	b string,
+) int {{
+	t := `func Fake() {{
+{s} `
+	return call(t)
+}}
+
+""", ""),
+    "rust": ("rs", "use std::io;\npub struct {c} {{\n}}\nimpl {c} {{\n", """    /* {s} {{
+    fn fake() {{
+    */
+    pub fn {m}(
+        &self,
+        a: &'static str,
+    ) -> i32 {{
+        let t = r#"fn fake() {{
+{s} "#;
+        call(t)
+    }}
+
+""", "}}\n"),
+}
+
+
+def _filled(template: str, **values: Column) -> Column:
+    """The template with columns in place of its fields; doubled braces stand for themselves."""
+    parts = []
+    for text, field, _, _ in string.Formatter().parse(template):
+        parts += [F.lit(text)] if text else []
+        parts += [values[field]] if field else []
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def trap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a source file in one of five languages, with a method for each of its lines (see ``TRAPS``).
+
+    The language goes by the id's remainder. Quotes, backslashes and stars of a line
+    become other marks, so that it ends no comment or string.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("text"))
+    number, name = F.pmod("file_id", F.lit(len(TRAPS))), F.concat(F.lit("C"), F.col("file_id").cast("string"))
+    said = lambda s: F.translate(s, "\"\\`*\r", "'/'+ ")
+    first = lambda s: F.lower(F.regexp_extract(s, "[A-Za-z]+", 0))
+    method = lambda s, i: F.concat(F.lit("m"), i.cast("string"), F.when(first(s) == "", F.lit("")).otherwise(F.concat(F.lit("_"), first(s))))
+
+    def methods(template: str) -> Column:
+        return F.array_join(F.transform(F.split("text", "\n"), lambda s, i: _filled(template, c=name, m=method(s, i), s=said(s))), "")
+
+    chosen = None
+    for i, (language, (ending, head, body, end)) in enumerate(TRAPS.items()):
+        one = F.struct(
+            F.lit(language).alias("language"), F.concat(F.lit("src/"), name, F.lit(f".{ending}")).alias("path"),
+            F.concat(_filled(head, c=name), methods(body), _filled(end)).alias("text"),
+        )
+        chosen = F.when(number == i, one) if chosen is None else chosen.when(number == i, one)
+    return cut_lineage(docs.select("file_id", chosen.alias("x")).select(
+        "file_id", "x.path", "x.text", F.sha2("x.text", 256).alias("hash"), "x.language", F.lit("source").alias("role")))

@@ -583,3 +583,23 @@ ORACLES["extract_chunks"] = sql("""
 select s.symbol_id as chunk_id, s.symbol_id, s.start_line::int as start_line, s.end_line::int as end_line,
   sha256(case when s.kind = 'module' then t.text else array_to_string(string_split(t.text, chr(10))[s.start_line:s.end_line], chr(10)) end) as hash
 from code_symbols s join code_texts t using (file_id)""")
+
+
+# file heads, lines of a method, its first and last line, and lines behind the methods of the code around each text line
+ORACLES["extract_statements"] = """
+with shape(k, ending, head, size, first, last, tail) as (
+  values (0, 'py', 3, 11, 1, 10, 0), (1, 'java', 3, 12, 4, 11, 1), (2, 'ts', 3, 12, 4, 11, 1), (3, 'go', 4, 12, 4, 11, 0), (4, 'rs', 4, 12, 4, 11, 1)
+), d as (
+  select doc_id as file_id, string_split(coalesce(text, ''), chr(10)) as ls, 'C' || doc_id as c, s.*,
+    doc_id * 16777216 as base, 'src/C' || doc_id || '.' || ending as path
+  from documents join shape s on ((doc_id % 5) + 5) % 5 = s.k
+), m as (select *, unnest(ls) as line, unnest(range(len(ls))) as i from d)
+select file_id, base as symbol_id, path as name, path as qualified_name, 'module' as kind, 1 as start_line,
+  (head + size * len(ls) + tail + 1)::int as end_line, null::bigint as parent_symbol_id from d
+union all
+select file_id, base + 1, c, c, 'class', case when k = 4 then 2 else 3 end,
+  (case when k = 0 then 2 + size * len(ls) when k in (1, 2) then head + size * len(ls) + 1 when k = 3 then 4 else 3 end)::int, base from d
+union all
+select file_id, base + 2 + i, name, c || '.' || name, 'method', (head + size * i + first)::int, (head + size * i + last)::int, base + 1
+from (select *, 'm' || i || case when regexp_extract(line, '[A-Za-z]+') = '' then '' else '_' || lower(regexp_extract(line, '[A-Za-z]+')) end as name from m)
+"""

@@ -309,4 +309,10 @@ def extract_chunks(spark, sf):
     return rel.chunks.select("chunk_id", "symbol_id", "start_line", "end_line", F.sha2("text", 256).alias("hash"))
 
 
-QUERIES.update({f.__name__: f for f in (extract_symbols, extract_edges, extract_chunks)})
+def extract_statements(spark, sf):
+    """Symbols of code in five languages that holds comments, long strings and signatures over several lines."""
+    return extract.symbols(corpus.trap_files(spark, sf)).select(
+        "file_id", "symbol_id", "name", "qualified_name", "kind", "start_line", "end_line", "parent_symbol_id")
+
+
+QUERIES.update({f.__name__: f for f in (extract_statements, extract_symbols, extract_edges, extract_chunks)})
