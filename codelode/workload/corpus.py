@@ -221,10 +221,10 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     its number and the line's first two words, calls its last word and carries
     the whole line as a comment; lines with fewer than two words are comments of
     the import. An opening round bracket in a comment would be read as a call and
-    becomes a square one. Documents without a line of two words have no class and
-    are left out.
+    becomes a square one. Documents without a line of two words have the import
+    alone and no class.
     """
-    base = paths(table(spark, sf_dir, "documents"))
+    base = paths(table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))))
     ws = lambda s: F.regexp_extract_all(s, F.lit(_WORD), F.lit(0))
     said = lambda s: F.replace(s, F.lit("("), F.lit("["))
     split = F.split("text", "\n")
@@ -245,8 +245,10 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("    fun "), name(x["w"], i), F.lit("() {  // "), said(x["line"]), F.lit("\n        "), called(x["w"]),
             F.lit("(1)\n    }\n"))), "\n"), F.lit("}\n"),
     )
-    py = F.col("path").endswith(".py")
-    shaped = base.filter(F.size(kept) > 0).select(
+    py, empty = F.col("path").endswith(".py"), F.size(kept) == 0
+    python = F.when(empty, F.concat(F.lit("import os  # "), rest, F.lit("\n"))).otherwise(python)
+    kotlin = F.when(empty, F.concat(F.lit("import os  // "), rest, F.lit("\n"))).otherwise(kotlin)
+    shaped = base.select(
         "file_id", F.regexp_replace("path", r"\.[a-z]+$", F.when(py, ".py").otherwise(".kt")).alias("path"),
         F.when(py, python).otherwise(kotlin).alias("text"),
     )

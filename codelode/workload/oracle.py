@@ -545,7 +545,15 @@ select file_id, py, {camel('ws[1]')} || {camel('ws[2]')} as head, n,
   regexp_replace(path, '\\.[a-z]+$', case when py then '.py' else '.kt' end) as path,
   case when py then 3 + 3 * n else 3 + 4 * n end as last_line
 from code_lines join (select file_id, count(*) as n from code_lines group by 1) using (file_id) join files using (file_id) where i = 0"""
+CTE["code_bare"] = """
+select file_id, regexp_replace(path, '\\.[a-z]+$', case when ending = '.py' then '.py' else '.kt' end) as path,
+  case when ending = '.py' then 'import os  # ' else 'import os  // ' end || coalesce(rest, '') || chr(10) as text
+from files join docs using (file_id) left join code_rest using (file_id)
+where file_id not in (select file_id from code_lines)"""
 CTE["code_symbols"] = """
+select file_id, file_id * 16777216 as symbol_id, path as name, path as qualified_name, 'module' as kind, 1 as start_line, 2 as end_line,
+  null::bigint as parent_symbol_id from code_bare
+union all
 select file_id, file_id * 16777216 as symbol_id, path as name, path as qualified_name, 'module' as kind, 1 as start_line,
   case when py then last_line else last_line + 1 end as end_line, null::bigint as parent_symbol_id from code_heads
 union all
@@ -565,6 +573,8 @@ from code_methods m join code_heads using (file_id)
 union all
 select file_id, file_id * 16777216, null, 'os', 'symbol_imports_module', 'name', 1, 1 from code_heads
 union all
+select file_id, file_id * 16777216, null, 'os', 'symbol_imports_module', 'name', 1, 1 from code_bare
+union all
 select file_id, file_id * 16777216 + 1, null, 'Base' || file_id, 'symbol_conforms_to', 'name', 2, 3 from code_heads
 union all
 select file_id, file_id * 16777216 + 2 + i, null, called, 'symbol_calls_name', 'name', 3, start_line from code_methods"""
@@ -582,7 +592,7 @@ from (select h.*, coalesce(c.rest, '') as rest from code_heads h left join code_
 ORACLES["extract_chunks"] = sql("""
 select s.symbol_id as chunk_id, s.symbol_id, s.start_line::int as start_line, s.end_line::int as end_line,
   sha256(case when s.kind = 'module' then t.text else array_to_string(string_split(t.text, chr(10))[s.start_line:s.end_line], chr(10)) end) as hash
-from code_symbols s join code_texts t using (file_id)""")
+from code_symbols s join (select file_id, text from code_texts union all select file_id, text from code_bare) t using (file_id)""")
 
 
 # file heads, lines of a method, its first and last line, and lines behind the methods of the code around each text line
