@@ -1,9 +1,11 @@
 """Inverted index and BM25 ranking.
 
-Postings carry the chunk length and the two filter columns most requests use
-(kind and role), so scoring reads one table. Term and phrase frequencies are
-aggregated with map-side combine, and the best k per request use
-``row_number() <= k``, which Spark trims on each task before the shuffle.
+Postings carry the chunk length, the two filter columns most requests use (kind and
+role) and the places of the term, so scoring reads one table. They are stored in
+folders by term bucket, sorted by term; a dictionary holds each term's document
+frequency. A search names the folders of its terms, so its scan is pruned before it
+starts. The best k per request use ``row_number() <= k``, which Spark trims on each
+task before the shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codelode.functions import text as tx
+from codelode.session import cut_lineage
 
 # The BM25 constants of the full-text ranking.
 K1 = 1.2
@@ -20,6 +23,12 @@ B = 0.75
 MIN_IDF = 1e-6
 RANK_DIGITS = 9
 
+#: Layout of the stored postings: tokens for each bucket folder and for each file in it.
+BUCKET_TOKENS, SALT_TOKENS = 4_000_000, 16_000_000
+MIN_BUCKETS, MAX_BUCKETS = 16, 4096
+#: Up to so many asked terms are pushed to the scan by name, beside their buckets.
+PRUNE_TERMS = 256
+
 
 def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
@@ -41,79 +50,103 @@ def unit_tokens(units: DataFrame) -> DataFrame:
 
 
 def postings(tokens: DataFrame, buckets: int = 16, salts: int = 1) -> DataFrame:
-    """(bucket, term, chunk_id, kind, role, dl, tf), one row per term and chunk.
+    """(bucket, term, chunk_id, kind, role, dl, tf, places), one row per term and chunk.
 
-    One shuffle serves both the count and the stored layout: rows are spread
-    by term bucket and, within a bucket, by a salt of the chunk, so neither a
+    Token arrays are dealt by chunk before they are opened, so words are counted
+    without a further shuffle; what is shuffled to the stored layout are counted
+    rows, by term bucket and, within a bucket, by a salt of the chunk, so neither a
     frequent term nor a long chunk ends up whole in one task.
     """
-    exploded = (
-        tokens.select("chunk_id", "kind", "role", "dl", F.explode("tokens").alias("term"))
+    counted = (
+        tokens.select("chunk_id", "kind", "role", "dl", "tokens").repartition("chunk_id")
+        .select("chunk_id", "kind", "role", "dl", F.posexplode("tokens").alias("place", "term"))
         .filter("term != ''")
-        .withColumn("bucket", term_bucket(F.col("term"), buckets))
-        .withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-        .repartition(buckets * salts, "bucket", "salt")
+        .groupBy("chunk_id", "term", "kind", "role", "dl")
+        .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
     )
     return (
-        exploded.groupBy("bucket", "salt", "term", "chunk_id", "kind", "role", "dl")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .drop("salt")
+        counted.withColumn("bucket", term_bucket(F.col("term"), buckets))
+        .withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+        .repartition(buckets * salts, "bucket", "salt")
+        .select("bucket", "term", "chunk_id", "kind", "role", "dl", "tf", "places")
     )
 
 
-def corpus_stats(tokens: DataFrame) -> DataFrame:
+def dictionary(posts: DataFrame) -> DataFrame:
+    """(bucket, term, df): in how many chunks each term occurs."""
+    return posts.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def layout(total: int) -> tuple[int, int]:
+    """Term buckets, and salts in each, for an index of ``total`` tokens."""
+    buckets = min(max(MIN_BUCKETS, -(-total // BUCKET_TOKENS)), MAX_BUCKETS)
+    return buckets, max(1, -(-total // (buckets * SALT_TOKENS)))
+
+
+def corpus_stats(tokens: DataFrame, buckets: int = 16) -> DataFrame:
     return tokens.agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").cast("double").alias("avgdl")
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").cast("double").alias("avgdl"), F.lit(buckets).alias("buckets")
     )
 
 
-def phrase_hits(posts: DataFrame, tokens: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Occurrences of each phrase per chunk; ``phrases`` holds space-joined tokens.
+def pruned(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """``table`` (bucket, term, ...) without folders and pages that hold none of the ``asked`` terms.
 
-    One-word phrases read the stored frequency. Longer ones are looked for only
-    in chunks that hold all their words, at consecutive places of the chunk's
-    token array.
+    The driver gets bucket numbers, at most one per folder, and the terms
+    themselves only if they are few; neither changes a result.
     """
-    keyed = phrases.select("phrase").distinct()
-    single = keyed.filter(~F.col("phrase").contains(" "))
-    sequence = F.split("phrase", " ")
-    multi = keyed.filter(F.col("phrase").contains(" ")).select(
-        "phrase",
-        F.size(F.array_distinct(sequence)).alias("needed"),
-        F.explode(F.array_distinct(sequence)).alias("term"),
-    )
-    one = posts.join(single, posts["term"] == single["phrase"]).select(
-        "phrase", "chunk_id", "kind", "role", "dl", F.col("tf").alias("f")
-    )
-    holding = (
-        posts.join(multi, "term")
-        .groupBy("phrase", "needed", "chunk_id", "kind", "role", "dl")
-        .agg(F.count(F.lit(1)).alias("found"))
-        .filter("found = needed")
-    )
-    width = F.size(sequence)
-    places = F.filter(
-        F.sequence(F.lit(1), F.size("tokens") - width + 1),
-        lambda i: (F.get("tokens", i - 1) == F.get(sequence, F.lit(0))) & (F.slice("tokens", i, width) == sequence),
+    few = asked.select("bucket", "term").distinct().limit(PRUNE_TERMS + 1).collect()
+    if len(few) <= PRUNE_TERMS:
+        buckets = {r["bucket"] for r in few}
+        return table.filter(F.col("bucket").isin(sorted(buckets)) & F.col("term").isin(sorted(r["term"] for r in few)))
+    buckets = {r["bucket"] for r in asked.select("bucket").distinct().collect()}
+    return table.filter(F.col("bucket").isin(sorted(buckets)))
+
+
+def asked_terms(phrases: DataFrame, buckets: int) -> DataFrame:
+    """(phrase, width, place, term, bucket): the words of each distinct phrase; ``phrases`` holds space-joined tokens."""
+    split = phrases.select("phrase").distinct().select("phrase", F.split("phrase", " ").alias("words"))
+    opened = split.select("phrase", F.size("words").alias("width"), F.posexplode("words").alias("place", "term"))
+    return opened.withColumn("bucket", term_bucket(F.col("term"), buckets))
+
+
+def phrase_places(posts: DataFrame, asked: DataFrame) -> DataFrame:
+    """Occurrences of phrases of several words: places of their words, moved back by the word's place, that agree."""
+    rows = posts.join(asked, ["bucket", "term"]).select(
+        "phrase", "width", "chunk_id", "kind", "role", "dl",
+        F.transform("places", lambda p: p - F.col("place")).alias("starts"),
     )
-    many = (
-        holding.join(tokens.select("chunk_id", "tokens"), "chunk_id")
-        .select("phrase", "chunk_id", "kind", "role", "dl", F.size(places).cast("long").alias("f"))
-        .filter("f > 0")
-    )
-    return one.unionByName(many)
+    held = rows.groupBy("phrase", "width", "chunk_id", "kind", "role", "dl").agg(F.collect_list("starts").alias("all")).filter(
+        F.size("all") == F.col("width"))
+    starts = F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0], lambda a, b: F.array_intersect(a, b))
+    return held.select("phrase", "chunk_id", "kind", "role", "dl", F.size(starts).cast("long").alias("f")).filter("f > 0")
+
 
+def weights(postings: DataFrame, terms: DataFrame, stats: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, chunk_id, kind, role, dl, f, w) of every chunk that holds a phrase; ``w`` is its BM25 part, lower is better.
 
-def weigh(hits: DataFrame, stats: DataFrame) -> DataFrame:
-    """Add the BM25 part ``w`` of each (phrase, chunk); lower is better."""
-    n = stats.select("n").scalar()
-    avgdl = stats.select("avgdl").scalar()
-    df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    One word needs one pruned scan of the postings: its document frequency is in
+    the dictionary. Longer phrases intersect the places of their words.
+    """
+    kept = stats.select("n", "avgdl", "buckets").first()
+    asked = cut_lineage(asked_terms(phrases, kept["buckets"]))
+    single, longer = asked.filter("width = 1"), asked.filter("width > 1")
+    known = pruned(terms, single).join(single, ["bucket", "term"])
+    hits = pruned(postings, single).drop("places").join(known, ["bucket", "term"]).withColumnRenamed("tf", "f")
+    found = hits.select("phrase", "chunk_id", "kind", "role", "dl", "f", "df")
+    if not longer.isEmpty():
+        many = cut_lineage(phrase_places(pruned(postings, longer), longer))
+        found = found.unionByName(many.join(many.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")), "phrase"))
+    return weigh(found, kept["n"], kept["avgdl"])
+
+
+def weigh(hits: DataFrame, n: float, avgdl: float) -> DataFrame:
+    """Add the BM25 part ``w`` of each hit from its ``df``, ``f`` and ``dl``."""
     raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(MIN_IDF)).otherwise(raw)
     f, dl = F.col("f").cast("double"), F.col("dl").cast("double")
-    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
-    return hits.join(df.select("phrase", idf.alias("idf")), "phrase").withColumn("w", -part)
+    part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
+    return hits.withColumn("w", -part).drop("df")
 
 
 def rank_requests(weights: DataFrame, requests: DataFrame) -> DataFrame:

@@ -48,6 +48,7 @@ class Index:
     edges: DataFrame
     units: DataFrame
     postings: DataFrame
+    terms: DataFrame
     tokens: DataFrame
     stats: DataFrame
     metadata: DataFrame
@@ -196,13 +197,14 @@ def index_warnings(metadata: DataFrame | None, target: str, roles: list[str], ne
 
 def write_index(
     rel: Relations, path: str, root: str, mode: str = "all-files", created_at: str = "",
-    buckets: int = 16, salts: int = 1,
+    buckets: int | None = None, salts: int | None = None,
 ) -> None:
     """Store all relations, the search rows and the inverted index as Parquet.
 
-    ``buckets`` splits postings by term so a search reads only its terms'
-    folders; ``salts`` splits each bucket further by chunk, which bounds the
-    file of a very frequent term. Both grow with the corpus.
+    ``buckets`` splits postings and the dictionary by term, so a search reads only
+    the folders of its terms; ``salts`` splits each bucket further by chunk, which
+    bounds the file of a very frequent term. By default both grow with the number
+    of tokens.
     """
     spark = rel.files.sparkSession
 
@@ -216,8 +218,13 @@ def write_index(
     edges = save(rel.edges, "edges")
     units = save(Relations(files, symbols, chunks, edges).units(), "units")
     tokens = save(ft.unit_tokens(units), "tokens")
-    save(ft.postings(tokens, buckets, salts).sortWithinPartitions("bucket", "term", "chunk_id"), "postings", "bucket")
-    save(ft.corpus_stats(tokens), "stats")
+    total = tokens.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("n")).first()["n"]
+    most, split = ft.layout(total)
+    buckets, salts = buckets or most, salts or split
+    posts = save(ft.postings(tokens, buckets, salts).sortWithinPartitions("bucket", "term", "chunk_id"), "postings", "bucket")
+    terms = ft.dictionary(posts).repartition("bucket").sortWithinPartitions("bucket", "term")
+    save(terms, "terms", "bucket")
+    save(ft.corpus_stats(tokens, buckets), "stats")
     save(metadata_rows(files, root, mode, created_at), "metadata")
 
 

@@ -27,7 +27,7 @@ def index(spark):
         "kind string, symbol_start int, symbol_end int, path string, role string, text string")
     tokens = ft.unit_tokens(units)
     return SimpleNamespace(
-        units=units, files=units.select("file_id", "path", "role"), tokens=tokens, postings=ft.postings(tokens, 4), stats=ft.corpus_stats(tokens))
+        units=units, files=units.select("file_id", "path", "role"), tokens=tokens, postings=ft.postings(tokens, 4), terms=ft.dictionary(ft.postings(tokens, 4)), stats=ft.corpus_stats(tokens, 4))
 
 
 def test_filters_come_before_the_cut(spark, index):
