@@ -11,8 +11,10 @@ with percent escapes decoded, the whole layer with ``\\uXXXX``, ``\\xXX`` and
 ``&#N;`` escapes decoded, every base64 run (as latin-1 where it is not UTF-8),
 and every gzip, zlib, bzip2, xz or zstd stream in the bytes that these give,
 codes under 256 being bytes. Each new layer is scanned and put on the
-worklist, until nothing decodes any more. A layer whose content equals one of its
-ancestors is not entered again, so streams that unpack to themselves end.
+worklist, until nothing decodes any more. A layer with the content and ranges of one
+met before is not entered again, and neither is a stream with the content of one met
+before: both are fixpoints of the whole text, whatever the order of decoding, and
+streams that unpack to themselves end.
 
 A base64 run goes on over single line breaks, also escaped ones, with up to 64 blanks
 around each. If the run does not decode to a stream or to text as a whole, it is also read
@@ -22,12 +24,12 @@ up to a ``/``, ``_``, ``-`` or any other character of the alphabet, does not mat
 Spans are code points of the original text, end exclusive. A decoded layer
 carries, for each of its characters, the range of its parent that made it (whole
 quartets for base64); ranges are taken back
-layer by layer. A stream's range is that of the bytes it was read from.
+to the original at once. A stream's range is that of the bytes it was read from.
 
 A compressed stream is read to its end, over all members and frames, and scanned in
 overlapping pieces together with all that it decodes to; its matches carry the range
-of the stream, so only their kinds are kept. Neither pieces nor layers of a stream
-are gathered: each is made anew from its source, and memory stays bounded against
+of the stream, so only their kinds are kept. Streams of up to ``HELD`` bytes are held,
+longer ones made anew from their source at each reading, so memory stays bounded against
 archive bombs, whose time is not. ``max_layer`` (a parameter) is how many bytes of
 a base64 run inside a stream are held; longer ones are read as streams. Zstandard
 frames that ask for a window above 128 MiB are not read, as by its own program.
@@ -87,6 +89,8 @@ WIDE = re.compile("[^\0-\xff\udc80-\udcff]")
 STANDARD = bytes.maketrans(b"-_", b"+/")
 #: Bytes of a compressed stream read at a time, of what it gives, of the longest escape, and kept around the end of a base64 run.
 STEP, PIECE, LONGEST, EDGE = 64 << 10, 256 << 10, 16, 1024
+#: Bytes of a stream's content that are held between its readings.
+HELD = 4 << 20
 
 Source = Callable[[], Iterator[bytes]]
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
@@ -104,47 +108,46 @@ def matches(text: str) -> Iterator[Span]:
 
 
 class Layer:
-    """A decoded text; ``at`` and ``to`` give each character's range in the parent, or None for the text itself."""
+    """A decoded text; ``at`` and ``to`` give each character's range in the original, or None for the text itself."""
 
-    def __init__(self, text: str, parent: Layer | None = None, at=None, to=None):
-        self.text, self.parent, self.at, self.to = text, parent, at, to
+    def __init__(self, text: str, at=None, to=None):
+        self.text, self.at, self.to = text, at, to
 
-    def origin(self, start: int, end: int) -> tuple[int, int]:
-        layer = self
-        while layer.parent is not None:
-            start, end = int(layer.at[start]), int(layer.to[end - 1])
-            layer = layer.parent
-        return start, end
+    def starts(self, place):
+        return place if self.at is None else self.at[place]
 
-    def repeats(self) -> bool:
-        up = self.parent
-        while up is not None:
-            if up.text == self.text:
-                return True
-            up = up.parent
-        return False
+    def ends(self, place):
+        return place if self.to is None else self.to[place - 1]
 
+    def key(self) -> bytes:
+        digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        digest.update(self.at)
+        digest.update(self.to)
+        return digest.digest()
 
-Add = Callable[[Layer, int, int, set[int]], None]
+
+Add = Callable[[int, int, set[int]], None]
 
 
 def _spliced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every match of ``pattern`` decoded; None if nothing changes."""
     parts, at, to, upto = [], [], [], 0
+    kind = np.int32 if len(layer.text) < 2 ** 31 else np.int64
     for m in pattern.finditer(layer.text):
         new = decode(m[0])
         if new is None:
             continue
         text, starts, ends = new
-        plain = np.arange(upto, m.start())
+        plain = np.arange(upto, m.start(), dtype=kind)
         parts += [layer.text[upto:m.start()], text]
-        at += [plain, starts + m.start()]
-        to += [plain + 1, ends + m.start()]
+        at += [plain, (starts + m.start()).astype(kind)]
+        to += [plain + 1, (ends + m.start()).astype(kind)]
         upto = m.end()
     if not parts:
         return None
-    plain = np.arange(upto, len(layer.text))
-    return Layer("".join(parts) + layer.text[upto:], layer, np.concatenate([*at, plain]), np.concatenate([*to, plain + 1]))
+    plain = np.arange(upto, len(layer.text), dtype=kind)
+    at, to = np.concatenate([*at, plain]), np.concatenate([*to, plain + 1])
+    return Layer("".join(parts) + layer.text[upto:], layer.starts(at), layer.ends(to))
 
 
 def _utf8(data: bytes, width: int):
@@ -413,20 +416,59 @@ def _escape_bytes(m: re.Match) -> bytes:
     return new[0].encode("latin-1") if new[0] < "\u0100" else new[0].encode("utf-8", "replace")
 
 
-def kinds(source: Source, most: int, above: tuple[bytes, ...] = ()) -> set[int]:
-    """Places of the kinds found in a stream of bytes and in all that it decodes to.
+class Streams:
+    """The compressed streams and long base64 runs met in one text, each content once.
 
     All patterns are ASCII, so bytes are matched as they are. What decodes is itself a
-    stream, made anew from the source; only pieces, and base64 runs of up to ``most``
-    bytes, are held. ``above``: digests of the streams that this one comes from.
+    stream; only pieces, base64 runs of up to ``most`` bytes and streams of up to
+    ``HELD`` bytes are held, longer ones are made anew from their source. A worklist
+    goes over contents that were not met yet; each keeps its own kinds and what it
+    decodes to, so one that occurs again, or contains itself, costs nothing more.
     """
-    found: set[int] = set()
-    digest = hashlib.blake2b()
-    for piece in source():
-        digest.update(piece)
-    if digest.digest() in above:  # it unpacks to itself
+
+    def __init__(self, most: int):
+        self.most = most
+        self.own: dict[bytes, set[int]] = {}
+        self.below: dict[bytes, list[bytes]] = {}
+        self.work: list[tuple[bytes, Source, int]] = []
+        self.held = 0
+
+    def enter(self, source: Source) -> bytes:
+        """The digest of a stream; it goes on the worklist if it is new."""
+        digest, held, size = hashlib.blake2b(), [], 0
+        for piece in source():
+            digest.update(piece)
+            size += len(piece)
+            if size <= HELD:
+                held.append(piece)
+        name = digest.digest()
+        if name not in self.own:
+            self.own[name], self.below[name] = set(), []
+            kept = size if size <= HELD and self.held + size <= 4 * HELD else 0
+            self.held += kept
+            self.work.append((name, _memory(b"".join(held)) if kept else source, kept))
+        return name
+
+    def kinds(self, source: Source) -> set[int]:
+        """Places of the kinds found in a stream and in all that it decodes to."""
+        first = self.enter(source)
+        while self.work:
+            name, held, kept = self.work.pop()
+            self.held -= kept
+            self.own[name] = _stream_kinds(held, self.most, lambda child, name=name: self.below[name].append(self.enter(child)))
+        found, seen, left = set(), {first}, [first]
+        while left:
+            name = left.pop()
+            found |= self.own[name]
+            new = [x for x in self.below[name] if x not in seen]
+            seen.update(new)
+            left += new
         return found
-    above += (digest.digest(),)
+
+
+def _stream_kinds(source: Source, most: int, enter: Callable[[Source], object]) -> set[int]:
+    """Kinds in the bytes of one stream; what they decode to goes to ``enter``."""
+    found: set[int] = set()
     near = tail = held = b""  # for the kinds, for escapes and magics, for base64 runs
     upto = at = 0  # bytes read; the place up to which streams were unpacked
     percent = escape = inside = False
@@ -436,7 +478,7 @@ def kinds(source: Source, most: int, above: tuple[bytes, ...] = ()) -> set[int]:
         chars = BREAK_BYTES.sub(b"", run.rstrip(b"="))
         if len(chars) >= 16:
             for off in range(4):
-                found.update(kinds(_memory(_decoded(chars[off:])), most, above))
+                enter(_memory(_decoded(chars[off:])))
 
     for piece in source():
         upto += len(piece)
@@ -463,12 +505,15 @@ def kinds(source: Source, most: int, above: tuple[bytes, ...] = ()) -> set[int]:
                 continue
             at = start + 1
             stream = Unpacked(_memory(tail, m.start()))
-            found |= kinds(stream, most, above)
+            for _ in stream():
+                pass
             if not stream.broken and start + stream.consumed == upto:  # it may go on behind this piece
                 stream = Unpacked(_skipped(source, start))
                 later.append(stream)
                 for _ in stream():
                     pass
+            else:
+                enter(stream)
             if stream.ended:
                 at = start + stream.consumed
         tail = tail[-LONGEST:]
@@ -502,7 +547,7 @@ def kinds(source: Source, most: int, above: tuple[bytes, ...] = ()) -> set[int]:
     if escape:
         later.append(_replaced(source, ESCAPE_BYTES, b"\\&", _escape_bytes))
     for child in later:
-        found |= kinds(child, most, above)
+        enter(child)
     return found
 
 
@@ -518,7 +563,7 @@ def _joined(m: re.Match) -> tuple[str, np.ndarray]:
     return "".join(parts), np.concatenate(places) + m.start()
 
 
-def _base64(layer: Layer, most: int, add: Add) -> Iterator[Layer]:
+def _base64(layer: Layer, streams: Streams, add: Add) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
         chars, places = _joined(m)
         if len(chars) < 16:
@@ -526,12 +571,13 @@ def _base64(layer: Layer, most: int, add: Add) -> Iterator[Layer]:
         for off in range(4):
             data = _decoded(chars[off:])
             first, after = _quartets(places, off, np.arange(len(data)))
-            covered = _streams(layer, data, first, after, most, add)
+            first, after = layer.starts(first), layer.ends(after)
+            covered = _covered(data, first, after, streams, add)
             for a, b in covered:  # stored parts show through, and have been seen
                 data = data[:a] + bytes(b - a) + data[b:]
             text, start, end = _utf8(data, 1)
             if covered != [(0, len(data))] and text:
-                yield Layer(text, layer, first[start], after[end - 1])
+                yield Layer(text, first[start], after[end - 1])
                 if not _readable(text) or len(start) == len(data) and not data.isascii():
                     continue
             if not off:
@@ -544,25 +590,25 @@ def _quartets(places: np.ndarray, off: int, at: np.ndarray) -> tuple[np.ndarray,
     return places[first], places[np.minimum(first + 3, len(places) - 1)] + 1
 
 
-def _streams(layer: Layer, data: bytes, first: np.ndarray, after: np.ndarray, most: int, add: Add) -> list[tuple[int, int]]:
-    """Adds what the compressed streams in ``data`` hold, and gives the ranges of the whole ones. ``first`` and ``after``: each byte's range in the layer."""
+def _covered(data: bytes, first: np.ndarray, after: np.ndarray, streams: Streams, add: Add) -> list[tuple[int, int]]:
+    """Adds what the compressed streams in ``data`` hold, and gives the ranges of the whole ones. ``first`` and ``after``: each byte's range in the original."""
     covered, upto = [], 0
     for m in MAGIC.finditer(data):
         start = m.start()
         if start < upto:
             continue
         stream = Unpacked(_memory(data, start))
-        found = kinds(stream, most)
+        found = streams.kinds(stream)
         end = min(start + max(1, stream.consumed), len(data))
         if found:
-            add(layer, int(first[start]), int(after[end - 1]), found)
+            add(int(first[start]), int(after[end - 1]), found)
         if stream.ended:
             covered.append((start, end))
             upto = end
     return covered
 
 
-def layers(layer: Layer, most: int, add: Add) -> Iterator[Layer]:
+def layers(layer: Layer, streams: Streams, add: Add) -> Iterator[Layer]:
     """What one layer decodes to; what its compressed streams hold goes to ``add``."""
     text = layer.text
     for marks, pattern, decode in ((("%",), PERCENT, _percent), (("\\", "&#"), ESCAPE, _escape)):
@@ -570,28 +616,29 @@ def layers(layer: Layer, most: int, add: Add) -> Iterator[Layer]:
             yield new
             raw = _spliced(layer, pattern, lambda found: _raw(found, decode))
             for one in (raw, new) if new.text != raw.text else (raw,):  # bytes, or characters with their codes
-                _streams(layer, one.text.encode("latin-1", "replace"), one.at, one.to, most, add)
-    yield from _base64(layer, most, add)
+                _covered(one.text.encode("latin-1", "replace"), one.at, one.to, streams, add)
+    yield from _base64(layer, streams, add)
 
 
 def scan(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[Span], list[Span]]:
     """Spans of the text itself, and those of all layers."""
-    top = Layer(text or "")
+    top, streams = Layer(text or ""), Streams(max_layer)
     base = sorted(matches(top.text))
     every = set(base)
 
-    def add(layer: Layer, start: int, end: int, found: set[int]) -> None:
-        a, b = layer.origin(start, end)
-        every.update((a, kind, b) for kind in found)
+    def add(start: int, end: int, found: set[int]) -> None:
+        every.update((start, kind, end) for kind in found)
 
-    work = [*layers(top, max_layer, add)]
+    work, seen = [*layers(top, streams, add)], set()
     while work:
         layer = work.pop()
-        if layer.repeats():
+        key = layer.key()
+        if key in seen:  # reached in another order: same content, same ranges
             continue
+        seen.add(key)
         for start, kind, end in matches(layer.text):
-            add(layer, start, end, {kind})
-        work += layers(layer, max_layer, add)
+            add(int(layer.starts(start)), int(layer.ends(end)), {kind})
+        work += layers(layer, streams, add)
     return base, sorted(every)
 
 

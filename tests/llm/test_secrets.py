@@ -5,6 +5,7 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import tracemalloc
 import urllib.parse
 import zlib
@@ -196,3 +197,73 @@ def test_base64_of_any_bytes():
         found = [(a, b) for a, k, b in scan(f"x {coded} y")[1] if k == 0]
         i = data.index(b"password")
         assert (2 + i // 3 * 4, 2 + (i + len(SECRET) - 2) // 3 * 4 + 4) in found
+
+
+def nested(text, times, *names):
+    for i in range(times):
+        text = ENCODINGS[names[i % len(names)]](text.encode("latin-1"))
+    return text
+
+
+def packed(data, times, pack):
+    for _ in range(times):
+        data = pack(data)
+    return base64.b64encode(data).decode()
+
+
+@pytest.mark.parametrize("make", [
+    lambda: packed(SECRET.encode(), 40, zlib.compress), lambda: packed(SECRET.encode(), 40, gzip.compress),
+    lambda: packed(SECRET.encode(), 40, bz2.compress), lambda: packed(SECRET.encode(), 40, zstandard.compress),
+    lambda: packed(SECRET.encode(), 400, zlib.compress),
+    lambda: SECRET.replace("=", "%" + "25" * 40 + "3D"), lambda: SECRET.replace("=", "\\x5c" + "x5c" * 40 + "x3d"),
+    lambda: SECRET.replace("=", "%" + "25" * 9 + "3D").replace("p", "\\x5c" + "x5c" * 9 + "x70"),
+    lambda: nested(SECRET, 6, "base64", "quoted"), lambda: nested(SECRET, 5, "zlib", "url", "gzip"),
+])
+def test_deep_nests_take_no_time(make):
+    text = make()
+    start = time.time()
+    spans = scan(text)[1]
+    assert any(kind == 0 for _, kind, _ in spans) and time.time() - start < 1
+
+
+def test_deep_long_streams():
+    rng = random.Random(9)
+    text = packed(rng.randbytes(400_000) + SECRET.encode(), 6, gzip.compress)
+    start = time.time()
+    assert any(kind == 0 for _, kind, _ in scan(text)[1]) and time.time() - start < 8
+
+
+def naive(text, depth=0):
+    """Kinds found by decoding every run of each kind by itself, one after the other, again and again."""
+    found = {kind for _, kind, _ in secrets.matches(text)}
+    if depth > 12:
+        return found
+    steps = (
+        (r"(?:%[0-9A-Fa-f]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode("latin-1")),
+        (r"(?:\\x[0-9a-f]{2})+", lambda m: bytes.fromhex(m[0].replace("\\x", "")).decode("latin-1")),
+    )
+    for pattern, decode in steps:
+        new = re.sub(pattern, decode, text)
+        if new != text:
+            found |= naive(new, depth + 1)
+    for run in re.findall(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+        try:
+            data = base64.b64decode(run, validate=True)
+        except ValueError:
+            continue
+        for unpack in (lambda x: x, gzip.decompress, zlib.decompress, bz2.decompress):
+            try:
+                found |= naive(unpack(data).decode("latin-1"), depth + 1)
+            except (OSError, EOFError, ValueError, zlib.error):
+                continue
+    return found
+
+
+def test_against_a_naive_decoder():
+    rng = random.Random(12)
+    names = ["url", "quoted", "hex", "base64", "gzip", "zlib", "bz2"]
+    plain = [SECRET, "AKIA" + "B" * 14, "0f" * 20, "nothing", "token=short"]
+    for _ in range(150):
+        parts = [nested(rng.choice(plain), rng.randrange(4), *rng.sample(names, 3)) for _ in range(rng.randrange(1, 4))]
+        text = " , ".join(parts)
+        assert naive(text) <= {kind for _, kind, _ in scan(text)[1]}
