@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codelode.session import checkpoint_folder
+from codelode.session import checkpoint_folder, cut_lineage
 
 
 #: Rows that an operator sees at a time, so that what it makes of them stays small.
@@ -59,3 +59,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+#: Rows of an intermediate table that go to one task.
+TASK_ROWS = 200_000
+
+
+def row_count(df: DataFrame) -> int:
+    """Rows of a stored table, counted by task and added up by the driver, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in batches)], pa.int64())], ["n"])
+
+    return sum(r.n for r in df.select(df.columns[0]).mapInArrow(run, "n long").collect())
+
+
+def compact(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` with its lineage cut, in as few partitions as its rows need: each task that reads it writes shuffle files."""
+    out = cut_lineage(df)
+    return out.coalesce(row_count(out) // task_rows + 1)
