@@ -61,7 +61,8 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept"), (F.col("n_removed") > 0).alias("touched"),
     )
 
 
@@ -85,7 +86,7 @@ def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
 def op13_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"),
-        F.length("kept").cast("long").alias("n_kept_chars"), (F.col("n_removed") > 0).alias("touched"),
+        "kept", (F.col("n_removed") > 0).alias("touched"),
     )
 
 
@@ -209,7 +210,7 @@ with w as (
   select w.doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, coalesce(kept, '') as kept
   from w left join kept on kept.doc_id = w.doc_id
 )
-select doc_id, n_words, n_removed, sha256(kept) as kept_sha256, length(kept) as n_kept_chars, n_removed > 0 as touched
+select doc_id, n_words, n_removed, sha256(kept) as kept_sha256, kept, n_removed > 0 as touched
 from r
 """,
 }

@@ -25,9 +25,10 @@ suffixes with ``length`` bytes in common; those with two or more are repeated.
 Windows that hold a symbol of which the task has no second one are left out first.
 
 Crowded keys. A key whose pieces hold over ``GROUP_BYTES`` is dealt to several
-tasks. What repeats in one of them is settled there; of the other windows, and of
-one window of each repeated class, 128-bit fingerprints are counted over all
-tasks. So no task holds a crowded key, and nothing is dropped.
+tasks. What repeats in one of them is settled there; the other windows, and one
+window of each repeated class, go on as two 64-bit hashes each, packed in blocks
+dealt by hash, and those that meet their like are repeated. So no task holds a
+crowded key, and nothing is dropped.
 
 Edge cases: null texts are empty; texts shorter than ``length`` bytes keep
 everything; rows that repeat id and text are documents of their own, so they
@@ -36,7 +37,6 @@ remove each other; null ids are kept as they are. Empty tables give no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,49 +46,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.common import flat_texts, map_batches, written
+from codelode.llm.hashing import Hashes, byte_values
 from codelode.session import cut_lineage
 
 GRAM, STRIDE, SHARDS = 16, 50, 4
 GROUP_BYTES, PIECE, BATCH_BYTES, BLOCK = 2 << 20, 4096, 1 << 20, 1 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-BYTE_VALUE = np.random.Generator(np.random.PCG64(88)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Windows of crowded keys that a task holds before it passes them on, and that meet in one task.
+HELD_WINDOWS, BUCKET_WINDOWS = 1 << 20, 1 << 21
+BYTE_VALUE, SECOND_VALUE = byte_values(88), byte_values(888)
+WINDOW = np.dtype([("f1", "<u8"), ("f2", "<u8"), ("piece", "<i4"), ("at", "<i8")])
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            n = max(n, 1 << 20)
-            for name, base in (("up", BASE), ("down", INVERSE)):
-                table = np.full(n, base, np.uint64)
-                table[0] = 1
-                setattr(cls, name, np.cumprod(table, dtype=np.uint64))
-        return cls.up, cls.down
-
-
-class Hashes:
-    """Hashes of any substrings of ``data`` in constant time each."""
-
-    def __init__(self, data: np.ndarray):
-        self.up, self.down = _Powers.get(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[data] * self.up[:len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-    def every(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return _mixed((self.sums[size:] - self.sums[:n]) * self.down[:n] + np.uint64(size))
+def byte_hashes(data: np.ndarray, values: np.ndarray = BYTE_VALUE) -> Hashes:
+    return Hashes(values[data])
 
 
 def pieces(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -100,7 +70,7 @@ def pieces(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         parts = [(a, pieces(data[a:a + BLOCK + length - 1], length)) for a in range(0, m, BLOCK)]
         moved = [(key, content, start + a, *rest) for a, (key, content, start, *rest) in parts]
         return tuple(np.concatenate([p[i] for p in moved]) for i in range(5))
-    hashes = Hashes(data)
+    hashes = byte_hashes(data)
     gram = min(GRAM, length)
     grams, w = hashes.every(gram), length - gram + 1
     rows = np.append(grams, np.full(-len(grams) % w, ~np.uint64(0))).reshape(-1, w)
@@ -185,7 +155,7 @@ def repeated(texts: list[bytes], length: int, shards: int = SHARDS) -> tuple[lis
     """For each text the class of each of its windows (-1: it holds a symbol that occurs once), and the size of each class."""
     depth = length // STRIDE
     made, where, data = [], [], np.frombuffer(b"".join(texts), np.uint8)
-    hashes = Hashes(data)
+    hashes = byte_hashes(data)
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
     whole = np.zeros(len(data), np.uint64)
@@ -279,16 +249,59 @@ def _cut_out(rows: DataFrame, length: int) -> DataFrame:
     return map_batches(rows, f"doc_id {kind}, mark long, key long, salt int, salts int, start long, single boolean, text binary", make)
 
 
-def _merged(texts: DataFrame, length: int) -> DataFrame:
-    """doc_id, mark, first, stop (runs of repeated windows), or with fingerprint halves a window that is left to compare."""
+def _merged(texts: DataFrame, length: int, buckets: int) -> DataFrame:
+    """doc_id, mark, first, stop: runs of repeated windows; or bucket, block, docs, marks: windows of crowded keys that are left to compare.
 
-    def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    A block packs the hashes and places of many windows into one value; ``docs`` and
+    ``marks`` say which pieces they belong to.
+    """
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, mark long, first long, stop long, bucket int, block binary, docs array<{kind}>, marks array<long>"
+
+    def nulls(n: int, of: pa.DataType) -> pa.Array:
+        return pa.nulls(n, of)
+
+    class Left:
+        """Windows of crowded keys, gathered over the batches of a task."""
+
+        def __init__(self, of: pa.DataType):
+            self.of, self.rows, self.docs, self.marks, self.n = of, [], [], [], 0
+
+        def add(self, doc, mark, text: bytes, at: np.ndarray, start: int) -> None:
+            if not len(at):
+                return
+            data = np.frombuffer(text, np.uint8)
+            rows = np.empty(len(at), WINDOW)
+            rows["f1"], rows["f2"] = (byte_hashes(data, v).of(at, at + length) for v in (BYTE_VALUE, SECOND_VALUE))
+            rows["piece"], rows["at"] = len(self.docs), at + start
+            self.rows.append(rows)
+            self.docs.append(doc)
+            self.marks.append(mark)
+            self.n += len(at)
+
+        def blocks(self) -> Iterator[pa.RecordBatch]:
+            if self.n:
+                rows = np.concatenate(self.rows)
+                bucket = (rows["f1"] % np.uint64(buckets)).astype(np.int64)
+                for b in np.unique(bucket).tolist():
+                    one = rows[bucket == b]
+                    used, one["piece"] = np.unique(one["piece"], return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([
+                        nulls(1, self.of), *(nulls(1, pa.int64()) for _ in range(3)), pa.array([b], pa.int32()), pa.array([one.tobytes()], pa.binary()),
+                        pa.array([[self.docs[i] for i in used]], pa.list_(self.of)), pa.array([[self.marks[i] for i in used]], pa.list_(pa.int64())),
+                    ], NAMES)
+            self.rows, self.docs, self.marks, self.n = [], [], [], 0
+
+    NAMES = ["doc_id", "mark", "first", "stop", "bucket", "block", "docs", "marks"]
+
+    def answer(table: pa.Table, left: Left) -> Iterator[pa.RecordBatch]:
         raw = table.column("text").to_pylist()
         start = table.column("start").to_numpy()
         single, salts = (table.column(c).to_numpy(zero_copy_only=False) for c in ("single", "salts"))
         classes, size = repeated(raw, length)
-        take, first, stop, half = [], [], [], []
-        seen: set[int] = set()
+        doc, mark = (table.column(c).combine_chunks() for c in ("doc_id", "mark"))
+        take, first, stop = [], [], []
+        seen = np.zeros(len(size) + 1, bool)
         for i, own in enumerate(classes):
             twice = np.append(size, 0)[own] > 1
             if single[i]:
@@ -296,27 +309,27 @@ def _merged(texts: DataFrame, length: int) -> DataFrame:
                 take += [i] * len(a)
                 first += (a + start[i]).tolist()
                 stop += (b + start[i]).tolist()
-                half += [(None, None)] * len(a)
             if salts[i] > 1:  # windows of a crowded key: those not settled, and one of each class
-                for p in range(len(own)):
-                    if not twice[p] or int(own[p]) not in seen:
-                        seen.add(int(own[p]))
-                        digest = hashlib.blake2b(raw[i][p:p + length], digest_size=16).digest()
-                        take.append(i)
-                        first.append(p + int(start[i]))
-                        stop.append(p + int(start[i]) + 1)
-                        half.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+                _, lead = np.unique(own, return_index=True)
+                new = np.zeros(len(own), bool)
+                new[lead] = ~seen[own[lead]]
+                seen[own] = True
+                left.add(doc[i].as_py(), mark[i].as_py(), raw[i], np.flatnonzero(~twice | new), int(start[i]))
+                if left.n > HELD_WINDOWS:
+                    yield from left.blocks()
         take = pa.array(take, pa.int64())
+        n = len(take)
         yield pa.RecordBatch.from_arrays([
-            *(table.column(c).combine_chunks().take(take) for c in ("doc_id", "mark")), pa.array(first, pa.int64()), pa.array(stop, pa.int64()),
-            *(pa.array([h[i] for h in half], pa.int64()) for i in (0, 1)),
-        ], ["doc_id", "mark", "first", "stop", "f1", "f2"])
+            doc.take(take), mark.take(take), pa.array(first, pa.int64()), pa.array(stop, pa.int64()), nulls(n, pa.int32()),
+            nulls(n, pa.binary()), nulls(n, pa.list_(doc.type)), nulls(n, pa.list_(pa.int64())),
+        ], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, left = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            left = left or Left(batch.schema.field("doc_id").type)
             key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "salt")])
             ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
@@ -327,16 +340,45 @@ def _merged(texts: DataFrame, length: int) -> DataFrame:
                 upto = int(ends[cut - 1]) if cut else 0
                 if size + upto - (int(ends[begin - 1]) if begin else 0) >= BATCH_BYTES:
                     held.append(batch.slice(begin, cut - begin))
-                    yield from answer(pa.Table.from_batches([b for b in held if b.num_rows]))
+                    yield from answer(pa.Table.from_batches([b for b in held if b.num_rows]), left)
                     held, size, begin = [], 0, cut
             held.append(batch.slice(begin))
             size += int(ends[-1]) - (int(ends[begin - 1]) if begin else 0)
             held = [b for b in held if b.num_rows]
         if held:
-            yield from answer(pa.Table.from_batches(held))
-
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, mark long, first long, stop long, f1 long, f2 long")
+            yield from answer(pa.Table.from_batches(held), left)
+        if left:
+            yield from left.blocks()
+
+    return texts.mapInArrow(run, schema)
+
+
+def _apart(blocks: DataFrame) -> DataFrame:
+    """doc_id, mark, first, stop: runs of windows whose hash several places hold, bucket by bucket."""
+    kind = blocks.schema["docs"].dataType.elementType.simpleString()
+
+    def find(table: pa.Table) -> pa.Table:
+        docs, marks = (pa.concat_arrays([c.flatten() for c in table.column(x).chunks]) for x in ("docs", "marks"))
+        parts, base = [], 0
+        for block, owners in zip(table.column("block").to_pylist(), table.column("docs")):
+            rows = np.frombuffer(block, WINDOW).copy()
+            rows["piece"] += base
+            base += len(owners)
+            parts.append(rows)
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows["f2"], rows["f1"]))]
+        same = (rows["f1"][1:] == rows["f1"][:-1]) & (rows["f2"][1:] == rows["f2"][:-1])
+        rows = rows[np.append(same, False) | np.append(False, same)]
+        rows = rows[np.lexsort((rows["at"], rows["piece"]))]
+        cut = np.append(True, (rows["piece"][1:] != rows["piece"][:-1]) | (rows["at"][1:] != rows["at"][:-1] + 1))[:len(rows)]
+        first = np.flatnonzero(cut)
+        last = np.append(first[1:], len(rows)) - 1
+        take = pa.array(rows["piece"][first].astype(np.int64))
+        return pa.table({
+            "doc_id": docs.take(take), "mark": marks.take(take), "first": pa.array(rows["at"][first]), "stop": pa.array(rows["at"][last[:len(first)]] + 1),
+        })
+
+    return blocks.groupBy("bucket").applyInArrow(find, f"doc_id {kind}, mark long, first long, stop long")
 
 
 def _kept(rows: DataFrame, length: int) -> DataFrame:
@@ -386,9 +428,9 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     whole = shared.join(groups.where("copies > 1").select(*content), content).select(
         *who, F.col("start").alias("first"), (F.col("start") + F.col("windows")).alias("stop")
     )
-    crowd = groups.where("several").groupBy("key").agg(
+    crowd = cut_lineage(groups.where("several").groupBy("key").agg(
         F.ceil(F.sum(F.col("windows") + length - 1) / GROUP_BYTES).cast("int").alias("salts")
-    )
+    ))
     listed = groups.where("several").join(crowd, "key").select(
         "rep.doc_id", "rep.mark", F.struct(
             "key", F.pmod(F.xxhash64("print"), F.col("salts")).cast("int").alias("salt"), "salts", "rep.start", "windows",
@@ -402,9 +444,9 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     texts = _cut_out(met(docs, listed, "inner").select("l.doc_id", "l.mark", "l.text", "r.pieces"), length)
     texts = texts.repartition("key", "salt").sortWithinPartitions("key", "salt")
-    found = cut_lineage(_merged(texts, length))
-    prints = found.where("f1 is not null").groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    apart = found.where("f1 is not null").join(prints.select("f1", "f2"), ["f1", "f2"])
-    runs = whole.union(found.where("f1 is null").select(*who, "first", "stop")).union(apart.select(*who, "first", "stop"))
+    left = crowd.where("salts > 1").agg(F.coalesce(F.sum("salts"), F.lit(0)).alias("n")).first()["n"] * GROUP_BYTES
+    found = cut_lineage(_merged(texts, length, left // BUCKET_WINDOWS + 1))
+    apart = _apart(found.where("bucket is not null").select("bucket", "block", "docs", "marks"))
+    runs = whole.union(found.where("bucket is null").select(*who, "first", "stop")).union(apart)
     runs = runs.groupBy(*who).agg(F.collect_list(F.struct("first", "stop")).alias("runs"))
     return _kept(met(docs, runs, "left").select("l.doc_id", "l.text", "r.runs"), length)

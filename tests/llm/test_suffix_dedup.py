@@ -84,7 +84,7 @@ def test_pieces_cover_every_window(monkeypatch):
     data = np.concatenate([rng.integers(97, 101, 3000), np.full(9000, 97), rng.integers(97, 101, 3000)]).astype(np.uint8)
     key, _, start, size, places = sd.pieces(data, 400)
     assert start[0] == 0 and (start[1:] == start[:-1] + size[:-1]).all() and start[-1] + size[-1] == len(data) - 399 and size.max() <= sd.PIECE
-    grams = sd.Hashes(data).every(sd.GRAM)
+    grams = sd.byte_hashes(data).every(sd.GRAM)
     assert all(key[i] == grams[start[i]:start[i] + 385].min() for i in range(len(key)))
     assert places.min() == 1 and places.max() > 400
     monkeypatch.setattr(sd, "BLOCK", 1000)
