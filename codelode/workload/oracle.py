@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from codelode.functions.intent import ENTRY_SEEDS, LITERAL_RULES
+from codelode.workload import feature_sql as fs
+
 
 def strict(x: str) -> str:
     return (
@@ -289,7 +292,7 @@ select query_id, position, qualified_name as symbol, kind, path as file, symbol_
 from (select *, row_number() over (partition by query_id order by fts_position) as position from fts_unique) join ranked using (query_id)
 where position <= 5""")
 
-ORACLES["neighbours"] = sql("""
+CTE["near"] = """
 select symbol_id, row_number() over (partition by symbol_id order by side, rn) as place, relation, neighbour, path, edge_id
 from (
   select e.source_symbol_id as symbol_id, 0 as side, row_number() over (partition by e.source_symbol_id order by e.edge_id) as rn,
@@ -305,7 +308,8 @@ from (
       union all select c.symbol_id, e.edge_id, 1, e.kind, e.source_symbol_id from edges e join symbols c on e.target_name = c.name)
     group by symbol_id, edge_id) i
   join symbols src on src.symbol_id = i.source_symbol_id join files f on f.file_id = src.file_id)
-where rn <= 5 qualify row_number() over (partition by symbol_id order by side, rn) <= 8""")
+where rn <= 5 qualify row_number() over (partition by symbol_id order by side, rn) <= 8"""
+ORACLES["neighbours"] = sql("select * from near")
 
 CTE["c_req"] = f"""
 select *, case when path_mode = 'filter' and n_hints > 0 then 'path-filter'
@@ -613,3 +617,94 @@ union all
 select file_id, base + 2 + i, name, c || '.' || name, 'method', (head + size * i + first)::int, (head + size * i + last)::int, base + 1
 from (select *, 'm' || i || case when regexp_extract(line, '[A-Za-z]+') = '' then '' else '_' || lower(regexp_extract(line, '[A-Za-z]+')) end as name from m)
 """
+
+_WANTED = "not list_contains(coalesce(roles, []), 'test')"
+_LITERALS = [r for r in LITERAL_RULES if r.seeds]
+CTE["seed_list"] = f"""
+select query_id, unnest(seeds) as seed, unnest(range(0, len(seeds))) as place
+from (select query_id, {fs.once('every_')} as seeds from (
+  select query_id, flatten([case when {fs.ENTRY} then {fs.listed(ENTRY_SEEDS)} else [] end,
+    list_filter(list_transform(refs, lambda r: lower(split_part(r, '.', -1))), lambda m: length(m) >= 3),
+    {', '.join(f"case when {fs.gate(r)} then {fs.listed(r.seeds)} else [] end" for r in _LITERALS)}]) as every_
+  from (select r.*, q_tokens, {strict('question')} as q_norm,
+    regexp_extract_all(question, '\\b([A-Za-z_][A-Za-z0-9_]*\\.[A-Za-z_][A-Za-z0-9_]*)\\b', 1) as refs
+    from requests r join ranked using (query_id) where {_WANTED})))"""
+CTE["seed_top"] = f"""
+select query_id, chunk_id, place from (
+  select s.query_id, s.place, u.chunk_id, row_number() over (
+    partition by s.query_id, s.place order by case when lower(u.name) = s.seed then 0 else 1 end, u.path, u.symbol_start, u.chunk_id) as rn
+  from seed_list s join requests r on r.query_id = s.query_id
+  join units u on lower(u.name) = s.seed or lower(u.qualified_name) like '%' || s.seed || '%' or lower(u.path) like '%' || s.seed || '%'
+  where s.place < 12 and {_HARD.replace(', kind)', ', u.kind)').replace(', role)', ', u.role)').replace('or role =', 'or u.role =')} and {_ALLOWED})
+where rn <= 120"""
+CTE["pool_i"] = """
+select query_id, chunk_id, rank, position from (
+  select *, row_number() over (partition by query_id order by source_rank, rank, path, symbol_start, chunk_id) as position
+  from (
+    select query_id, chunk_id, min(rank) as rank, min(source_rank) as source_rank from (
+      select query_id, chunk_id, rank, place as source_rank from pool_words join word_top using (query_id, word)
+      union all
+      select query_id, chunk_id, 0.0, coalesce(n, 0) + place from seed_top left join (select query_id, count(*) as n from pool_words group by 1) using (query_id))
+    group by all)
+  join units using (chunk_id))
+where position <= 300"""
+CTE["i_rows"] = f"""
+select p.query_id, p.chunk_id, p.rank, p.position as pool_position, u.name, u.qualified_name, u.kind, u.path, u.role, u.text, r.question
+from pool_i p join units u on u.chunk_id = p.chunk_id join requests r on r.query_id = p.query_id where u.kind <> 'module' and {_WANTED}"""
+CTE["i_ready"] = fs.prepared("i_rows")
+CTE["i_boost"] = fs.boosted("i_ready")
+CTE["i_top"] = """
+select * from (select query_id, chunk_id, rank, boost, reasons, row_number() over (partition by query_id order by boost desc, pool_position) as position from i_boost)
+where position <= 12 and boost > 0"""
+CTE["m_all"] = f"""
+select query_id, chunk_id, max(boost) as boost, min(fts_position) as fts_position, min(source * 1000 + position) as first_place,
+  {fs.once('any_value(said)')} as reasons
+from (
+  select *, flatten(list(reasons) over (partition by query_id, chunk_id order by source rows between unbounded preceding and unbounded following)) as said
+  from (
+    select query_id, chunk_id, 0 as source, position, null as fts_position, 42.0 as boost, ['exact symbol term match'] as reasons from exact_top
+    union all select query_id, chunk_id, 1, position, null, 0.0, []::varchar[] from hint_top
+    union all select query_id, chunk_id, 2, position, null, boost, reasons from i_top
+    union all select query_id, chunk_id, 3, fts_position, fts_position, 0.0, []::varchar[] from fts_top))
+group by query_id, chunk_id"""
+CTE["near_count"] = "select symbol_id, count(*) as n from near group by 1"
+CTE["s_rows"] = """
+select m.*, u.name, u.qualified_name, u.kind, u.path, u.role, u.text, u.symbol_start, s.end_line as symbol_end, r.question, r.path_hints,
+  case when r.expand is null or len(r.expand) > 0 then coalesce(c.n, 0) else 0 end as near_n,
+  (r.expand is null or len(r.expand) > 0) and c.n is not null as has_neighbours
+from m_all m join units u on u.chunk_id = m.chunk_id join symbols s on s.symbol_id = u.symbol_id join requests r on r.query_id = m.query_id
+left join near_count c on c.symbol_id = u.symbol_id"""
+CTE["s_ready"] = fs.prepared("s_rows")
+CTE["s_done"] = fs.scored("s_ready")
+_LEAF = "split_part(qualified_name, '.', -1)"
+_SAID = lambda r: f"list_contains(why, '{r}')"
+CTE["s_placed"] = f"""
+select *, round(score
+  + case when early and kind = 'function' then 4 when early and kind = 'method' and not odd and (named or {_SAID('method owner/source match')}) then 4 else 0 end
+  + case when kind = 'function' and {_SAID('exact symbol name match')} and {_SAID('symbol token coverage match')} then 3
+      when kind = 'method' and meant and list_contains(leaf_words, 'call') then 14 when kind = 'method' and meant and named then 8
+      when kind = 'method' and meant then 4 when kind = 'method' and {_SAID('method owner/name match')} then 2
+      when kind = 'method' and coalesce(fts_position <= 2, false) and not odd and len(leaf_words) = 1 and {_SAID('method name match')} then 3 else 0 end
+  + case when kind = 'module' then -18 when kind = 'class' and ({_SAID('symbol token coverage match')} or meant) and not {_SAID('exact class name match')} then -12 else 0 end,
+  3) as moved
+from (
+  select *, coalesce(fts_position <= 5, false) as early, kind = 'method' and starts_with({_LEAF}, '__') and ends_with({_LEAF}, '__') as odd,
+    {fs.words(strict(_LEAF))} as leaf_words, {fs.some('why', 'r', "contains(r, 'intent')")} as meant,
+    {_SAID('method name match')} or {_SAID('method owner/name match')} as named
+  from s_done)"""
+
+
+def _found(adjusted: str) -> str:
+    order = f"{adjusted} desc, first_place, chunk_id"
+    return sql(f"""
+select query_id, position, qualified_name as symbol, kind, path as file, symbol_start::int as start_line, symbol_end::int as end_line, score,
+  {adjusted} as adjusted, array_to_string(why, '; ') as why, {evidence('text', 'q_tokens')} as evidence, near_n::int as neighbours
+from (
+  select *, row_number() over (partition by query_id order by {order}) as position
+  from (select *, row_number() over (partition by query_id, path, qualified_name order by {order}) as nth from s_placed) where nth = 1)
+where position <= 5""")
+
+
+ORACLES["search_symbol"] = _found("score")
+ORACLES["search_hybrid"] = _found("moved")
+ORACLES["match_features"] = fs.match_features()
