@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from codelode.operators import related
 from codelode.functions.intent import ENTRY_SEEDS, LITERAL_RULES
 from codelode.workload import feature_sql as fs
 
@@ -708,3 +709,155 @@ where position <= 5""")
 ORACLES["search_symbol"] = _found("score")
 ORACLES["search_hybrid"] = _found("moved")
 ORACLES["match_features"] = fs.match_features()
+
+
+def dotted(x: str) -> str:
+    return f"lower(trim(regexp_replace(translate({x}, '\\/', '..'), '[^A-Za-z0-9_.]+', ' ', 'g')))"
+
+
+_STOP = fs.in_list(related.LAYOUT_STOPWORDS)
+_TEXT = "string_split_regex({0}, '\\s+')"
+
+
+def _parts(x: str) -> str:
+    return _TEXT.format(x)
+
+
+def _variants(m: str) -> str:
+    plain = f"regexp_replace({m}, '\\.(?:cjs|mjs|jsx?|tsx?|dart|[ch])$', '')"
+    index = f"regexp_replace({plain}, '/index$', '')"
+    forms = [plain, index, f"regexp_replace({plain}, '^(?:src|lib)/', '')", f"regexp_replace({index}, '^(?:src|lib)/', '')"]
+    return "[" + ", ".join(dotted(f) for f in (m, *forms)) + "]"
+
+
+# what is asked: source_id, source_file, symbol (null without one), terms, wanted
+CTE["t_sources"] = f"""
+select f.file_id as source_id, f.path as source_file, s.qualified_name as symbol, 5 as wanted,
+  {distinct_list("list_transform(regexp_extract_all(f.text, '[A-Za-z]{11,}'), lambda t: lower(t))")} as terms
+from files f left join (select file_id, arg_min(qualified_name, symbol_id) as qualified_name from members where kind = 'function' group by 1) s using (file_id)
+where f.role = 'source'"""
+
+
+def related_ctes(prefix: str, source: str) -> dict[str, str]:
+    """Tests of the requests in ``source``; every request meets every test, and what shows no signal is left out."""
+    base = "regexp_replace(regexp_replace(source_file, '\\.[^./]+$', ''), '/__init__$', '')"
+    ext = "split_part(source_file, '.', -1)"
+    folder = lambda x: f"case when contains({x}, '/') then regexp_replace({x}, '/[^/]*$', '') else '' end"
+    rust = f"regexp_extract({base}, '^(?:[^/]+/)*?src/(.+)$', 1)"
+    jvm = f"regexp_extract({base}, '^(?:[^/]+/)*?src/[^/]+/(?:kotlin|java)/(.+)$', 1)"
+    modules = (
+        f"flatten([[{base}], case when {ext} = 'go' then [{folder(base)}] else [] end, "
+        f"case when {ext} = 'rs' then [{rust}, regexp_replace({rust}, '(?:^|/)(?:mod|lib|main)$', '')] else [] end, "
+        f"case when {ext} in ('kt', 'kts') then [{jvm}, {folder(jvm)}] else [] end, "
+        f"case when ends_with({base}, '/index') then [regexp_replace({base}, '/index$', '')] else [] end, "
+        f"case when regexp_matches({base}, '^(?:src|lib)/') then [regexp_replace({base}, '^(?:src|lib)/', '')] else [] end])"
+    )
+    leaf = loose("list_filter(string_split_regex(symbol, '[^A-Za-z0-9_]+'), lambda p: p <> '')[-1]")
+    dot_leaf = loose("split_part(symbol, '.', -1)")
+    owner = "case when contains(symbol, '.') then regexp_replace(symbol, '\\.[^.]*$', '') else symbol end"
+    verbs = fs.in_list(related.NOUN_VERBS)
+    words = f"flatten(list_transform(terms, lambda t: {_parts(loose('t'))}))"
+    once, some, number = fs.once, fs.some, fs.number
+    out = {}
+    out["a"] = f"""
+select *, {loose("regexp_replace(split_part(source_file, '/', -1), '\\.[^.]+$', '')")} as stem, {leaf} as leaf, {dot_leaf} as dot_leaf,
+  list_filter({_parts(loose('source_file'))}, lambda t: t <> '') as s_tokens, {words} as words, {loose('symbol')} as l_symbol,
+  string_split_regex({owner}, '::|\\.')[-1] as class_name, list_filter(list_transform(terms, lambda t: {loose('t')}), lambda t: length(t) >= 2) as l_terms,
+  list_filter({_parts(loose("regexp_replace(source_file, '\\.[^.]+$', '')"))}, lambda t: length(t) >= 3 and t not in {_STOP}) as layout_,
+  list_filter(list_transform({modules}, lambda n: {dotted('n')}), lambda n: n <> '') as modules_
+from {source}"""
+    out["b"] = f"""
+select *, {once('modules_')} as modules, {once('layout_')} as layout,
+  {once(f"list_filter(words, lambda t: length(t) >= 4 and t not in {_STOP})")} as path_terms,
+  ({once(f"list_filter(words, lambda t: length(t) >= 5 and t not in {_STOP})")})[1:3] as task_terms,
+  case when regexp_matches(class_name, '^[A-Z]') then {loose('class_name')} end as l_class,
+  {once(f"list_filter([stem, dot_leaf, case when contains(dot_leaf, ' ') and split_part(dot_leaf, ' ', 1) in {verbs} then regexp_replace(dot_leaf, '^[^ ]+ +', '') end], lambda n: length(n) >= 3)")} as fixture_names,
+  {once(f"list_filter(s_tokens, lambda t: length(t) >= 3 and t not in {_STOP} and t not in {fs.in_list(related.GENERIC_PATH_WORDS)})")} as candidate
+from {prefix}a"""
+    out["c"] = f"""
+select *, {once("list_filter(list_concat([stem], candidate[2:]), lambda t: length(t) >= 3)")} as cand_tokens,
+  list_transform(modules, lambda m: replace(m, '.', '')) as flat_modules
+from {prefix}b"""
+    mirrored = "len(list_intersect(layout, test_layout))"
+    shared = number("s_tokens", "t", f"length(t) >= 3 and t not in {_STOP} and contains(t_path, t)")
+    body = number("l_terms", "t", "contains(t_text, t)")
+    parent = "regexp_replace(m, '\\.[^.]*$', '')"
+    imports = some("modules", "m", some("t_imports", "i", "i = m or starts_with(i, m || '.') or ends_with(i, '.' || m)")
+                   + f" or (contains(m, '.') and list_contains(t_imports, {parent}) and contains(t_text, stem))")
+    signals = [
+        ("test path includes source stem", "case when contains(t_path, stem) then 20 else 0 end"),
+        ("test path matches task terms", f"least(8 * {number('path_terms', 't', 'contains(t_path, t)')}, 32)"),
+        ("test path shares source path tokens", f"least(4 * {shared}, 16)"),
+        ("test path mirrors source package layout", f"case when {mirrored} > 0 then least(10 + 6 * {mirrored}, 22) else 0 end"),
+        ("test imports source module", f"case when {imports} then 30 else 0 end"),
+        ("test uses related fixture", f"case when {some('fixture_names', 'n', 'contains(t_text, n)')} and list_has_any(t_fixtures, fixture_names) then 18 else 0 end"),
+        ("test body matches task terms", f"least(12 * {body}, 84)"),
+        ("strong task-term coverage", f"case when {body} >= 5 then 24 else 0 end"),
+        ("RSpec describes source symbol", "case when symbol is not null and coalesce(contains(t_text, l_class), false) then 32 else 0 end"),
+        ("request spec exercises Rails route", """case when symbol is not null and regexp_matches(path, '^spec/requests/.*_spec\\.rb$') and regexp_matches(t_text, 'get|post|put|patch|delete')
+           and (contains(t_text, regexp_replace(stem, '\\s*controller$', '') || ' path') or contains(t_text, regexp_replace(stem, '\\s*controller$', '') || ' url')
+             or contains(t_text, leaf)) then 28 else 0 end"""),
+        ("test body mentions source symbol", "case when symbol is not null and (contains(t_text, l_symbol) or contains(t_text, leaf)) then 24 else 0 end"),
+        ("test calls source symbol", "case when symbol is not null and list_contains(t_calls, leaf) then 28 else 0 end"),
+        ("test path includes symbol name", "case when symbol is not null and contains(t_path, leaf) then 36 else 0 end"),
+    ]
+    basic = (
+        f"({some('cand_tokens', 't', 'contains(low_path, t)')} or {some('flat_imports', 'i', some('flat_modules', 'm', 'contains(i, m)'))} "
+        "or coalesce(low_path like '%' || replace(leaf, ' ', '%') || '%', false) or coalesce(list_contains(edge_calls, leaf), false))"
+    )
+    tokens = f"contains(t_tokens, ' ' || array_to_string({fts('t')}, ' ') || ' ')"
+    out["d"] = f"""
+select *, {', '.join(f'{points} as s{i}' for i, (_, points) in enumerate(signals))},
+  {basic} or (len(task_terms) > 0 and {fs.every('task_terms', 't', tokens)}) as fast,
+  {basic} or (len(task_terms) > 0 and {fs.every('task_terms', 't', 'contains(low_text, t)')}) as slow
+from {prefix}c, t_tests"""
+    reasons = ", ".join(f"case when s{i} > 0 then ['{reason}'] else [] end" for i, (reason, _) in enumerate(signals))
+    out["e"] = f"""
+select *, flatten([{reasons}, case when regexp_matches(path, '^(?:tests?|integration_tests?|functional_tests?|acceptance_tests?)/') then ['external test root'] else [] end]) as why,
+  raw + case when regexp_matches(path, '^(?:tests?|integration_tests?|functional_tests?|acceptance_tests?)/') then 24 else 0 end as score
+from (select *, {' + '.join(f's{i}' for i in range(len(signals)))} as raw from {prefix}d)"""
+    out["f"] = f"""
+select source_id, count(*) filter (fast) as n_fast, count(*) filter (fast and raw > 0) as m_fast, count(*) filter (slow and raw > 0) as m_slow
+from {prefix}e group by 1"""
+    slow = "(len(task_terms) > 0 and n_fast < wanted)"
+    plain, ours = loose("x"), dotted("x")
+    useful = (
+        f"contains({plain}, stem) or {some('modules', 'm', f'contains({ours}, m)')} or coalesce(contains({plain}, leaf), false) "
+        f"or {some('l_terms', 't', f'contains({plain}, t)')} or {some('t_fixtures', 'g', f'list_contains(fixture_names, g) and contains({plain}, g)')}"
+    )
+    out["g"] = f"""
+select source_id, file_id, path, score, why, position, nullif(coalesce(list_position(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: {useful}), true), 0), 0) as first_line
+from (
+  select *, row_number() over (partition by source_id order by score desc, translate(path, '_', '!')) as position
+  from {prefix}e join {prefix}f using (source_id)
+  where raw > 0 and (not (case when {slow} then m_slow else m_fast end >= wanted) or case when {slow} then slow else fast end))
+where position <= wanted"""
+    return {prefix + k: v for k, v in out.items()}
+
+
+# tests with their derived columns; no text of the given tables parametrises a test
+_USED = "flatten(list_transform(regexp_extract_all(text, '(?m)^\\s*use\\s+([^;]+);', 1), lambda u: string_split_regex(trim(regexp_replace(u, '[{},]+', ' ', 'g')), '\\s+')))"
+CTE["t_linked"] = """
+select s.file_id, list(distinct trim(e.target_name)) filter (e.kind = 'symbol_imports_module') as imports,
+  list(distinct trim(e.target_name)) filter (e.kind = 'symbol_calls_name') as calls
+from edges e join symbols s on s.symbol_id = e.source_symbol_id group by 1"""
+CTE["t_base"] = f"""
+select f.file_id, f.path, f.text, {loose('f.path')} as t_path, lower(f.path) as low_path, {loose('f.text')} as t_text,
+  translate(f.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low_text, ' ' || array_to_string(t.toks, ' ') || ' ' as t_tokens,
+  coalesce(l.imports, []) as imports, coalesce(l.calls, []) as calls,
+  case when contains(f.text, 'use ') then list_filter(list_transform({_USED.replace('text', 'f.text')}, lambda p: {dotted("replace(p, '::', '.')")}), lambda p: p <> '') else [] end as used
+from files f join tokens t on t.chunk_id = f.file_id * 16777216 left join t_linked l using (file_id) where f.role = 'test'"""
+_BARE = "regexp_replace(p, '^(?:crate|self|super)\\.', '')"
+CTE["t_tests"] = f"""
+select *, list_transform(imports, lambda m: replace(lower(m), '.', '')) as flat_imports, list_transform(calls, lambda m: lower(m)) as edge_calls,
+  list_filter(list_concat(flatten(list_transform(imports, lambda m: {_variants('m')})), used, list_transform(used, lambda p: {_BARE}),
+    list_transform(used, lambda p: case when contains({_BARE}, '.') then regexp_replace({_BARE}, '\\.[^.]*$', '') else '' end)), lambda p: p <> '') as t_imports,
+  list_concat(list_transform(calls, lambda m: {loose('m')}),
+    list_transform(regexp_extract_all(text, '\\b([A-Za-z_][A-Za-z0-9_]*)\\s*(?:::<[^>]+>\\s*)?\\(', 1), lambda m: {loose('m')})) as t_calls,
+  list_filter(list_transform(flatten(list_transform(regexp_extract_all(text, '\\bdef\\s+test[\\w_]*\\s*\\(([^)]*)\\)', 1), lambda a: string_split(a, ','))),
+    lambda a: {loose("regexp_replace(regexp_replace(regexp_replace(trim(a), '^[*/]+', ''), '\\s*=.*$', ''), '\\s*:.*$', '')")}), lambda n: n not in ('', 'self', 'cls')) as t_fixtures,
+  list_filter({_parts(loose("regexp_replace(path, '\\.[^.]+$', '')"))}, lambda t: length(t) >= 3 and t not in {_STOP}) as test_layout
+from t_base"""
+CTE.update(related_ctes("r_", "t_sources"))
+ORACLES["related_tests"] = sql("""
+select source_id, position, path as file, score, array_to_string(why, '; ') as why, first_line from r_g""")
