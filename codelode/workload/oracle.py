@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codelode.operators import related
+from codelode.operators import related, source_tests
 from codelode.functions.intent import ENTRY_SEEDS, LITERAL_RULES
 from codelode.workload import feature_sql as fs
 
@@ -861,3 +861,40 @@ from t_base"""
 CTE.update(related_ctes("r_", "t_sources"))
 ORACLES["related_tests"] = sql("""
 select source_id, position, path as file, score, array_to_string(why, '; ') as why, first_line from r_g""")
+
+CTE["b_symbols"] = """
+select query_id, attempt, path,
+  (list(struct_pack(name := name, kind := kind, start_line := start_line)
+    order by case when n_hints > 0 then -best end nulls last, case when n_hints > 0 then start_line end nulls last, case when n_hints > 0 then name end nulls last, first_at))[1:12] as symbols
+from (
+  select query_id, attempt, path, n_hints, qualified_name as name, min(position) as first_at, arg_min(kind, position) as kind,
+    arg_min(symbol_start, position) as start_line, max(row_score + name_boost + 12 * len(matched)) as best
+  from c_full group by query_id, attempt, path, n_hints, qualified_name)
+group by query_id, attempt, path"""
+CTE["b_found"] = """
+select query_id, path, score, symbols, place from (
+  select b.*, s.symbols, row_number() over (partition by b.query_id order by score desc, matched_chunks desc, b.path) as place
+  from c_boosted b join b_symbols s using (query_id, attempt, path)
+  where attempt = case when (select count(*) from c_folded f where f.query_id = b.query_id and f.attempt = 0) >= 5 then 0 else 1 end)
+where place <= 5"""
+_S_WHOLE, _S_LEAF = strict("s.name"), strict("split_part(s.name, '.', -1)")
+CTE["q_sources"] = f"""
+select query_id * 100 + place as source_id, path as source_file, 2 as wanted, terms,
+  (list_sort(list_transform(symbols, lambda s, i: struct_pack(o := -(case when s.kind in ('method', 'function') then 6 else 0 end
+    + coalesce(list_sum(list_transform(ws, lambda t: case when {_S_LEAF} = t then 24 when contains({_S_LEAF}, t) then 16
+        when contains({_S_WHOLE}, t) or contains(replace({_S_WHOLE}, ' ', ''), t) then 8 else 0 end)), 0)), i := i, name := s.name))))[1].name as symbol
+from (select f.*, r.terms, list_filter(flatten(list_transform(r.terms, lambda t: string_split({strict('t')}, ' '))), lambda t: length(t) >= 3) as ws
+  from b_found f join requests r using (query_id) where place <= 3)"""
+CTE.update(related_ctes("q_", "q_sources"))
+_TOLD = "case when first_line is null then path else path || ':' || first_line end"
+CTE["b_tests"] = f"""
+select source_id, list(path order by position) as tests, list({_TOLD} order by position) as told, arg_min(score, position) as best, arg_min(why, position) as why
+from q_g group by 1"""
+_BONUS = " + ".join(f"case when list_contains(why, '{reason}') then {points} else 0 end" for reason, points in source_tests.PAIR_BONUS.items())
+ORACLES["source_tests"] = sql(f"""
+select query_id, row_number() over (partition by query_id order by bundle_score desc, translate(path, '_', '!')) as position, path as file, bundle_score,
+  ceil(length(array_to_string(list_concat([path || ':' || symbols[1].start_line], coalesce(told, [])), ' -> ')) / 4)::bigint as context_tokens,
+  array_to_string(tests, ',') as tests, array_to_string(why, '; ') as test_why
+from (
+  select f.*, t.*, round(f.score + coalesce(t.best / 10, 0.0) + {_BONUS}, 3) as bundle_score
+  from b_found f left join b_tests t on t.source_id = f.query_id * 100 + f.place)""")
