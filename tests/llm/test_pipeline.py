@@ -54,16 +54,20 @@ def test_stages_against_brute_force(spark):
 
 
 def test_odd_rows(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    more = ["score", "margin", "rejected", "text_sha256", "kept", "_id", "_copy", "own", "c0", "size"]  # names that operators use
+    columns = ["doc_id", "text", "lang", "source", "n_chars", *more]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in more)
     rows = [(1, "the one and only text of this table", "en", "a", 1), (1, "the one and only text of this table", "en", "a", 1),
-            (None, "a null id is no matter for the text", "en", None, 1), (3, None, None, None, None), (4, "", "en", "a", 0), (5, "12 34", "en", "b", 5)]
-    for left in (rows, []):
+            (None, "a null id is no matter for the text", "en", None, 1), (None, "another null id of another source", "en", "b", 1),
+            (3, None, None, None, None), (4, "", "en", "a", 0), (5, "12 34", "en", "b", 5), (6, "word " * 60_000, "en", "b", 5)]
+    for left in ([(*r, *more) for r in rows], []):
         df = spark.createDataFrame(left, schema)
         for name, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, "")
             assert df.count() <= 3 * max(1, len(left))
             if name != "tokens":
-                assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+                assert df.columns == columns
+                assert all([r[c] for c in more] == more for r in df.collect())
     assert zlib.crc32(b"") % 5 == 0
 
 
