@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +22,20 @@ def changed(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return fresh.join(stored.select("path", "hash"), ["path", "hash"], "left_anti")
 
 
+def stored_before(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
+    """path and hash of the newest stored version of every file, as the batches before ``batch_id`` left it."""
+    try:
+        rows = spark.read.option("basePath", store).parquet(store)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, hash string")
+    # the texts stay where they are: the hash decides between equal versions as it does in ``latest``
+    w = W.partitionBy("path").orderBy(F.col("version").desc(), "hash")
+    ranked = rows.filter(F.col("batch") < batch_id).select("path", "hash", "version").withColumn("_n", F.row_number().over(w))
+    return ranked.filter("_n = 1").select("path", "hash")
+
+
 def reindex_stream(spark: SparkSession, incoming: str, store: str, checkpoint: str):
     """Append changed files of each micro-batch to ``store``, one folder per batch.
 
@@ -28,13 +43,7 @@ def reindex_stream(spark: SparkSession, incoming: str, store: str, checkpoint: s
     holds each batch once. ``latest`` over the store gives the current files.
     """
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        fs = spark._jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(store)):
-            before = spark.read.option("basePath", store).parquet(store).filter(F.col("batch") < batch_id)
-            stored = latest(before)
-        else:
-            stored = spark.createDataFrame([], "path string, hash string")
-        changed(batch, stored).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        changed(batch, stored_before(batch.sparkSession, store, batch_id)).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
     return (
         spark.readStream.schema(FILES).parquet(incoming).writeStream.foreachBatch(upsert)
