@@ -5,6 +5,7 @@ from __future__ import annotations
 from codelode.operators import related, source_tests
 from codelode.functions.intent import ENTRY_SEEDS, LITERAL_RULES
 from codelode.workload import feature_sql as fs
+from codelode.workload import navigation_sql
 
 
 def strict(x: str) -> str:
@@ -898,3 +899,6 @@ select query_id, row_number() over (partition by query_id order by bundle_score
 from (
   select f.*, t.*, round(f.score + coalesce(t.best / 10, 0.0) + {_BONUS}, 3) as bundle_score
   from b_found f left join b_tests t on t.source_id = f.query_id * 100 + f.place)""")
+
+CTE.update(navigation_sql.CTE)
+ORACLES.update({name: sql(body) for name, body in navigation_sql.BODIES.items()})

@@ -14,7 +14,7 @@ from codelode.operators import extract
 from codelode.operators import fulltext as ft
 from codelode.operators import index as ix
 from codelode.plans import search
-from codelode.workload import cases, corpus
+from codelode.workload import cases, corpus, navigation
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
@@ -317,3 +317,4 @@ def extract_statements(spark, sf):
 
 QUERIES.update({f.__name__: f for f in (extract_statements, extract_symbols, extract_edges, extract_chunks)})
 QUERIES.update(cases.QUERIES)
+QUERIES.update(navigation.QUERIES)
