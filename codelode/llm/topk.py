@@ -16,8 +16,8 @@ Vectors become ``floor(scale * x)``; the score is the integer inner product.
 * The k best of each block meet by query.
 
 Edge cases: vectors that are null or hold a null, NaN or infinite component take
-no part. Vectors of another length than the most frequent one are an error of
-the data and raise. Ties go to the smaller id; rows that share a query's id are
+no part, nor do empty vectors and vectors of another length than the most frequent
+one (of equally frequent lengths, the shortest counts). Ties go to the smaller id; rows that share a query's id are
 the query's own and are left out; other repeated rows are ranked each. Fewer than k
 candidates give fewer rows; an empty table gives none. Products whose sum can
 leave 63 bits raise an error.
@@ -133,12 +133,14 @@ def top_k(
     head: int = HEAD, block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score; queries are the rows whose id is divisible by ``every``."""
-    rows = quantised(vectors, id_col, vector_col, scale)
-    n = rows.count()
+    rows = quantised(vectors, id_col, vector_col, scale).where(F.size("v") > 0)
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    usual = lengths.orderBy(F.desc("n"), "d").first()
     schema = "query_id long, vec_id long, score long"
-    if not n:
+    if usual is None:
         found = vectors.sparkSession.createDataFrame([], schema)
     else:
+        n, rows = usual.n, rows.where(F.size("v") == usual.d)
         turn = rotation(rows)
         blocks = -(-n // block_rows)
         asked = rows.where(F.col("vec_id") % every == 0)

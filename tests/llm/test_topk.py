@@ -39,3 +39,11 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], "a"), (1, [3.0, -4.0], "b")], SCHEMA)
     assert sorted(map(tuple, topk.top_k(df).collect())) == [(0, 1, 1, 256 * 256 * -5)]
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_other_lengths_take_no_part(spark):
+    rows = [(i, [float(i % 7), 1.0 + i % 3, -0.5 * i], "x") for i in range(60)]
+    odd = [(100, [], "x"), (150, [1.0], "x"), (151, [1.0, 2.0], "x"), (200, [9.0] * 4, "x")]
+    df = spark.createDataFrame(rows + odd, SCHEMA)
+    assert sorted(map(tuple, topk.top_k(df, block_rows=20).collect())) == brute(rows, 5, 50)
+    assert topk.top_k(df.where("size(embedding) = 0")).count() == 0
