@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codelode.operators import evaluate as ev
 from codelode.operators import extract, index as ix
+from codelode.operators import navigation as nv
 from codelode.operators.clusters import file_clusters
 from codelode.operators.related import related_tests
 from codelode.operators.source_tests import source_tests
@@ -106,6 +107,19 @@ def main(argv: list[str] | None = None) -> int:
     b = command("benchmark")
     b.add_argument("questions")
     b.add_argument("--mode", choices=MODES, default="hybrid")
+    a = command("agent-eval")
+    a.add_argument("questions")
+    a.add_argument("--answers")
+    a.add_argument("--mode", choices=MODES, default="hybrid")
+    r = command("nav-compare")
+    r.add_argument("baseline")
+    r.add_argument("current")
+    for flag in ("--token-increase", "--token-increase-percent"):
+        r.add_argument(flag, type=float, default=0.0)
+    for flag in ("--latency-increase-ms", "--latency-increase-percent"):
+        r.add_argument(flag, type=float)
+    r.add_argument("--require-dominance", action="store_true")
+    r.add_argument("--require-tool-use", action="store_true")
     n = command("trace-note")
     n.add_argument("trace")
     n.add_argument("note")
@@ -129,6 +143,12 @@ def main(argv: list[str] | None = None) -> int:
                 raise ValueError("the trace holds no events")
             _print(ev.trace_report(events), "session")
             return 0
+        if args.command == "nav-compare":
+            budgets = nv.Budgets(args.token_increase, args.token_increase_percent, args.latency_increase_ms,
+                                 args.latency_increase_percent, args.require_dominance, args.require_tool_use)
+            worse = nv.suite_regressions(documents.read_suite(spark, args.baseline), documents.read_suite(spark, args.current), budgets).cache()
+            _print(worse, "name")
+            return int(not worse.isEmpty())
         if args.command == "autonomous-summary":
             reviews = documents.read_reviews(spark, args.reviews).select(
                 "condition", "success", "quality", F.lit(None).cast("long").alias("tokens"), F.col("failureMode").alias("failure_mode"))
@@ -147,8 +167,10 @@ def main(argv: list[str] | None = None) -> int:
             _print(source_tests(index, _request(spark, args), test_limit=args.test_limit))
         elif args.command == "related-tests":
             row = (0, args.source, args.symbol, _list(args.term), args.limit)
-            _print(related_tests(index, spark.createDataFrame(
-                [row], "source_id long, source_file string, symbol string, terms array<string>, limit int")))
+            sources = spark.createDataFrame([row], "source_id long, source_file string, symbol string, terms array<string>, limit int")
+            matches = related_tests(index, sources).cache()
+            declared = nv.test_symbols(matches, sources, index.files, index.symbols).drop("n_symbols")
+            _print(matches.join(declared, ["source_id", "file"], "left"))
         elif args.command == "task":
             words = tuple(_list(args.term) or (args.question or "").split())
             task = plan_task.Task(words, tuple(_list(args.kind)), tuple(_list(args.path_hint)), args.path_mode, args.source, args.symbol, args.limit)
@@ -158,6 +180,12 @@ def main(argv: list[str] | None = None) -> int:
                 for row in rows[purpose]:
                     print(json.dumps({"step": purpose, **row.asDict(True)}, default=str))
             print(json.dumps({"guide": plan_task.guide(rows)}))
+        elif args.command == "agent-eval":
+            requests = documents.question_requests(documents.read_questions(spark, args.questions))
+            expected = documents.expectations(requests)
+            hits = ev.expected_hits(plan_search.search(index, requests, args.mode), expected)
+            said = nv.mentions(documents.read_answers(spark, args.answers), expected) if args.answers else None
+            _print(requests.select("query_id", "id").join(nv.answer_winners(hits, said), "query_id").drop("query_id"), "id")
         elif args.command == "benchmark":
             requests = documents.question_requests(documents.read_questions(spark, args.questions))
             results = plan_search.search(index, requests, args.mode)

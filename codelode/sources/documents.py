@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codelode.operators.navigation import METRICS, SUITE
+
 AGENT_QUERY = (
     "struct<terms:array<string>,symbolKinds:array<string>,pathHints:array<string>,pathMode:string,"
     "roles:array<string>,excludeSupportCode:boolean,expand:array<string>,limit:int>"
@@ -73,5 +75,22 @@ def read_trace(spark: SparkSession, path: str, types: dict[str, str] | None = No
     return checked.drop("_corrupt").withColumn("ts", F.to_timestamp("timestamp"))
 
 
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Free answers to the questions of a set, by the ids that ``question_requests`` gives them."""
+    answers = spark.read.schema("id string, text string").json(path, multiLine=True)
+    return answers.select(F.xxhash64("id").alias("query_id"), "text")
+
+
+def read_suite(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
+    """Metrics of a run, an object for each repository and one without a name for the suite.
+
+    ``names`` gives the field names that other files use for ours; metrics that a file lacks are null.
+    """
+    names = names or {}
+    fields = ["name", *METRICS]
+    foreign = T.StructType([T.StructField(names.get(f, f), T.StringType() if f == "name" else T.DoubleType()) for f in fields])
+    return spark.read.schema(foreign).json(path, multiLine=True).toDF(*fields).fillna(SUITE, ["name"])
+
+
 def append_trace(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
