@@ -27,7 +27,7 @@ def units(spark):
 
 
 def test_tokens(spark):
-    plain, strict = inverted.tokenizer(inverted.unlike(spark))
+    plain, strict = inverted.tokenizer(inverted.folding(spark))
     rows = spark.createDataFrame([(s,) for s in TEXTS], "s string").select(
         "s", tx.fts_tokens(F.col("s")).alias("plain"), tx.words(tx.normalize_strict(F.col("s"))).alias("strict")).collect()
     assert [(plain(r.s), strict(r.s)) for r in rows] == [(r.plain, r.strict) for r in rows]
