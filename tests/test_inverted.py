@@ -8,7 +8,7 @@ from codelode.functions import text as tx
 from codelode.operators import candidates as cd
 from codelode.operators import clusters as cl
 from codelode.operators import fulltext as ft
-from codelode.operators import inverted
+from codelode.operators import inverted, related
 from codelode.workload import corpus
 
 TEXTS = [
@@ -74,3 +74,12 @@ def test_terms_with_wildcards(spark):
     rows = [("a_c",), ("a%c",), ("b\\d",), ("ABC",), ("z",)]
     df = spark.createDataFrame(rows, "t string").select(F.array("t").alias("c_terms"), F.lit("aXc b\\d ABC").alias("text"), F.lit("N").alias("qualified_name"), F.lit("p").alias("path"))
     assert [r[0] for r in df.select(cl._has_any_term()).collect()] == [True, True, True, False, False]
+
+
+def test_pairs_read_what_is_made_once(spark):
+    """What every pair of a source and a test reads is a column of its test or source, not computed for the pair."""
+    shown = str([score for _, score in related.signals()]) + str(related.candidate_flags())
+    assert "regexp_extract_all" not in shown and "t_layout" in shown and "t_block_text" in shown and "task_tokens" in shown and "flat_modules" in shown
+    lines = spark.createDataFrame([("nothing\nsome_Stem here\nlast",)], "text string").withColumns(
+        {"stem": F.lit("stem"), "leaf": F.lit(None).cast("string")} | {c: F.array().cast("array<string>") for c in ("modules", "l_terms", "t_fixtures", "fixture_names", "t_blocks")})
+    assert lines.select(related.first_line()).first()[0] == 2
